@@ -20,11 +20,12 @@ RADIUS = 0.025
 def close_pairs(v: np.ndarray, z: np.ndarray, overlap: float, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i < j) of rows of ``v`` within ``radius``, each found in at least one cell; distances near the radius are settled in double."""
     top = np.float32(radius * radius)
+    v32 = v.astype(np.float32)
     left, right = [], []
     for at in sp.cells(z, overlap):
         for start in range(0, len(at), 2048):
             some = at[start : start + 2048]
-            w, u = v[some], v[at]
+            w, u = v32[some], v32[at]
             d = (w * w).sum(axis=1)[:, None] + (u * u).sum(axis=1)[None, :] - 2 * (w @ u.T)
             i, j = np.nonzero(d <= top * np.float32(1.001) + np.float32(1e-7))
             i, j, dd = some[i], at[j], d[i, j]
@@ -33,7 +34,7 @@ def close_pairs(v: np.ndarray, z: np.ndarray, overlap: float, radius: float) ->
             near = dd > top * np.float32(0.999) - np.float32(1e-7)
             if near.any():
                 ok = np.ones(len(i), bool)
-                ok[near] = ((v[i[near]].astype(np.float64) - v[j[near]]) ** 2).sum(axis=1) <= radius * radius * (1 + 1e-9)
+                ok[near] = ((v[i[near]] - v[j[near]]) ** 2).sum(axis=1) <= radius * radius * (1 + 1e-9)
                 i, j = i[ok], j[ok]
             left.append(i)
             right.append(j)
@@ -62,7 +63,7 @@ def local_clusters(table: DataFrame, space: sp.Space, n_atoms: int, radius: floa
 
     def cluster(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fid, v, (extra, rep) in sp.gathered(batches, n_atoms, space):
-            lab = labels(len(fid), *close_pairs(v, v @ space.axes.astype(np.float32), space.overlap, radius))
+            lab = labels(len(fid), *close_pairs(v, (v @ space.axes).astype(np.float32), space.overlap, radius))
             size = np.bincount(lab, minlength=len(fid))
             some = size[lab] > 1
             ids, lab = np.concatenate([fid[some], extra]), np.concatenate([fid[lab[some]], rep])

@@ -180,7 +180,7 @@ def spread(table: DataFrame, space: Space, n_atoms: int, copies: int) -> DataFra
 
 
 def gathered(batches: Iterable[pa.RecordBatch], n_atoms: int, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
-    """Of one shuffled part: ids, vectors (single precision, from the origin, each id once), and the surplus copies as (id, rep)."""
+    """Of one shuffled part: ids, vectors (from the origin, each id once), and the surplus copies as (id, rep)."""
     ids, vecs, extra, reps = [], [], [], []
     for batch in batches:
         has = batch.column("rep").is_null().to_numpy(zero_copy_only=False)
@@ -193,12 +193,12 @@ def gathered(batches: Iterable[pa.RecordBatch], n_atoms: int, space: Space) -> I
             kept = batch.filter(pa.array(has))
         if kept.num_rows:
             ids.append(fid[has])
-            vecs.append((vectors(framecodec.unpack(kept.column("vec"), n_atoms)) - space.origin).astype(np.float32))
+            vecs.append(vectors(framecodec.unpack(kept.column("vec"), n_atoms)) - space.origin)
     none = np.empty(0, np.int64)
     side = (np.concatenate(extra), np.concatenate(reps)) if extra else (none, none)
     if not ids:
         if extra:
-            yield none, np.empty((0, 3 * n_atoms), np.float32), side
+            yield none, np.empty((0, 3 * n_atoms)), side
         return
     fid, v = np.concatenate(ids), np.concatenate(vecs)
     fid, at = np.unique(fid, return_index=True)
