@@ -152,7 +152,7 @@ def plan(need: np.ndarray, rounds: int = ROUNDS) -> list[tuple[int, int, int, in
             each = min(free // size, max(1, int(left[size]) // many))
             used = min(many, int(left[size]) // each)
             place(size, first, used * each, each)
-            room.setdefault(free - used * 0 - each * size, []).append((first, used))
+            room.setdefault(free - each * size, []).append((first, used))
             if many > used:
                 room.setdefault(free, []).append((first + used, many - used))
     return rows
