@@ -28,66 +28,87 @@ def lines(width: int, seed: int = 11) -> np.ndarray:
 
 
 def candidates(h: np.ndarray, window: float, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (i < j) of rows ``at`` with at least COLLIDE collisions in windows of half width ``window`` around the query on each line, and
-    their distances along the lines.
+    """Pairs (i < j) of rows ``at`` with at least COLLIDE collisions, and the step of LADDER at which they first have them.
 
-    Every line is an array of projections in steps of window / 64. The windows of all queries of a cell are laid over it line by line; a
-    pair that can no longer reach the count is dropped after DENSE lines, the others are counted to the end.
+    Every line is an array of projections in ticks of window / 64; a collision on a line is a value inside the window around the query.
+    The windows of a block of queries are laid over the values of the cell line by line; a pair that can no longer reach the count is
+    dropped after DENSE lines, the others are counted to the end. A pair is looked at from one of its two sides only.
     """
-    need = min(COLLIDE, h.shape[1])
-    dense = min(DENSE, h.shape[1])
+    need, dense = min(COLLIDE, h.shape[1]), min(DENSE, h.shape[1])
     allowed = h.shape[1] - need
-    ticks = np.clip(np.rint(h[at] * (64 / window)), -16000, 16000).astype(np.int16)
-    for start in range(0, len(at), 1024):
-        some = slice(start, start + 1024)
-        count = np.zeros((len(ticks[some]), len(at)), np.uint8)
+    at = np.sort(at)
+    mine = h[at]
+    ticks = np.clip(np.rint(mine[:, :dense].T * (64 / window)), -16000, 16000).astype(np.int16)
+    for start in range(0, len(at), 128):
+        rows = slice(start, start + 128)
+        count = np.zeros((len(at[rows]), len(at) - start), np.uint8)
         for k in range(dense):
-            apart = np.subtract.outer(ticks[some, k], ticks[:, k])
-            np.abs(apart, out=apart)
-            count += apart <= 64
-        i, j = np.nonzero(count >= dense - allowed)
-        i += start
-        ahead = at[i] < at[j]
-        i, j = at[i[ahead]], at[j[ahead]]
-        apart = np.abs(h[i] - h[j])
-        ok = (apart <= window).sum(axis=1) >= need
-        yield i[ok], j[ok], apart[ok]
+            apart = np.subtract.outer(ticks[k, rows] + np.int16(64), ticks[k, start:]).view(np.uint16)
+            count += apart <= 128
+        i, j = np.divmod(np.flatnonzero(count >= dense - allowed), count.shape[1])
+        ahead = i < j
+        i, j = i[ahead] + start, j[ahead] + start
+        apart = np.abs(mine[i] - mine[j])
+        step = np.full(len(i), len(LADDER), np.int8)
+        for n in range(len(LADDER) - 1, -1, -1):
+            step[(apart <= window * LADDER[n]).sum(axis=1) >= need] = n
+        ok = step < len(LADDER)
+        yield at[i[ok]], at[j[ok]], step[ok]
+
+
+def _best(q: np.ndarray, r: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of (query, neighbour, distance) the k nearest of each query, nearest first, ties by id, each neighbour once."""
+    order = np.lexsort((ids[r], d, q))
+    q, r, d = q[order], r[order], d[order]
+    fresh = np.r_[True, (q[1:] != q[:-1]) | (r[1:] != r[:-1])][: len(q)]
+    q, r, d = q[fresh], r[fresh], d[fresh]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
+    top = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) < k
+    return q[top], r[top], d[top]
 
 
 def nearest(v: np.ndarray, ids: np.ndarray, z: np.ndarray, h: np.ndarray, overlap: float, radius: float, k: int) -> tuple[np.ndarray, ...]:
-    """(query row, neighbour row, distance) of up to ``k`` verified neighbours within ``radius`` of every row, nearest first, ties by id."""
+    """(query row, neighbour row, distance) of up to ``k`` verified neighbours within ``radius`` of every row, nearest first, ties by id.
+
+    Virtual rehashing: the candidates of the narrowest windows are verified first; a query with k neighbours within that step's share of
+    the radius is done, the candidates of wider windows are verified for the others. Candidates are verified once they fill a batch, so
+    memory does not grow with the number of pairs.
+    """
     window = WINDOW * radius / np.sqrt(max(1, v.shape[1] - 3))
-    got: list[tuple[np.ndarray, ...]] = []
+    n = len(v)
+    none = np.empty(0, np.int64)
+    best = (none, none, np.empty(0))
+    pending: list[tuple[np.ndarray, ...]] = []
+    held = 0
+
+    def settle() -> None:
+        nonlocal best, pending, held
+        if not pending:
+            return
+        code = np.concatenate([(i * n + j) * len(LADDER) + step for i, j, step in pending])
+        code = np.sort(code)
+        code, step = np.divmod(code, len(LADDER))
+        fresh = np.r_[True, code[1:] != code[:-1]]
+        (i, j), step = np.divmod(code[fresh], n), step[fresh]
+        for rung, share in enumerate(LADDER):
+            q, _, d = best
+            full = np.bincount(q[d <= radius * (LADDER[rung - 1] if rung else 0)], minlength=n) >= k
+            now = (step == rung) & ~(full[i] & full[j])
+            a, b = i[now], j[now]
+            d = np.concatenate([np.sqrt(((v[a[s : s + 65536]] - v[b[s : s + 65536]]) ** 2).sum(axis=1)) for s in range(0, len(a), 65536)] or [np.empty(0)])
+            good = d <= radius * (1 + 1e-9)
+            a, b, d = a[good], b[good], np.round(d[good], 10)
+            best = _best(np.concatenate([best[0], a, b]), np.concatenate([best[1], b, a]), np.concatenate([best[2], d, d]), ids, k)
+        pending, held = [], 0
+
     for at in sp.cells(z, overlap):
-        for i, j, apart in candidates(h, window, at):
-            open_ = np.ones(len(i), bool)
-            full = np.zeros(0, np.int64)
-            for share in LADDER:
-                if len(full):
-                    open_ &= ~(np.isin(i, full) & np.isin(j, full))
-                now = np.flatnonzero(open_ & ((apart <= window * share).sum(axis=1) >= min(COLLIDE, h.shape[1])))
-                if not len(now):
-                    continue
-                open_[now] = False
-                d = np.sqrt(((v[i[now]] - v[j[now]]) ** 2).sum(axis=1))
-                good = d <= radius * (1 + 1e-9)
-                got.append((i[now][good], j[now][good], d[good]))
-                q = np.concatenate([x[y <= radius * share] for a, b, y in got[-1:] for x in (a, b)])
-                rows, n = np.unique(q, return_counts=True)
-                full = np.union1d(full, rows[n >= k])
-    if not got:
-        none = np.empty(0, np.int64)
-        return none, none, np.empty(0)
-    i, j, d = (np.concatenate(c) for c in zip(*got, strict=True))
-    q, r, d = np.concatenate([i, j]), np.concatenate([j, i]), np.round(np.concatenate([d, d]), 10)
-    order = np.lexsort((ids[r], d, q))
-    q, r, d = q[order], r[order], d[order]
-    fresh = np.r_[True, (q[1:] != q[:-1]) | (r[1:] != r[:-1])]
-    q, r, d = q[fresh], r[fresh], d[fresh]
-    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-    place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-    top = place < k
-    return q[top], r[top], d[top]
+        for some in candidates(h, window, at):
+            pending.append(some)
+            held += len(some[0])
+            if held > 2_000_000:
+                settle()
+    settle()
+    return best
 
 
 def thin_copies(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

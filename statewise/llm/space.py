@@ -110,7 +110,7 @@ def cells(z: np.ndarray, overlap: float, size: int = CELL) -> Iterator[np.ndarra
             if len(at) > 1:
                 yield at
             continue
-        step = max(1, len(at) // 512)
+        step = max(1, len(at) // 192)
         axis, value = _cut(z[at[::step]], overlap)
         side = z[at, axis] - value
         low, high = at[side <= overlap / 2], at[side > -overlap / 2]
