@@ -163,7 +163,11 @@ def boolean_contacts(distances: Column, cutoff: float | list[float]) -> Column:
 
 def centre(xyz: Column) -> Column:
     """The frame moved so that the mean of its atoms is the origin."""
-    mean = [total(F.transform(xyz, lambda p, k=k: p[k])) / F.size(xyz) for k in range(3)]
+
+    def axis(k: int) -> Column:
+        return total(F.transform(xyz, lambda p: p[k])) / F.size(xyz)
+
+    mean = [axis(k) for k in range(3)]
     return F.transform(xyz, lambda p: F.array(p[0] - mean[0], p[1] - mean[1], p[2] - mean[2]))
 
 
