@@ -107,7 +107,7 @@ def components(edges: DataFrame, one_task: int = 2_000_000) -> DataFrame:
 def cluster_frames(table: DataFrame, n_atoms: int = 22, radius: float = RADIUS, part: int = sp.PART) -> DataFrame:
     """``frame_id, cluster`` of every frame that another frame lies within ``radius`` of; ``cluster`` is the smallest id of its cluster.
 
-    Density clustering (a frame with a neighbour is a core point): frames are reduced to principal axes, cut into parts with overlapping
+    Density clustering (a frame with a neighbour is a core point): frames are reduced to random orthonormal axes, cut into parts with overlapping
     margins, clustered in each part, and local clusters that share a frame are merged. ``table`` has ``frame_id, vec`` (packed frames);
     the same id twice counts once, exact copies are one point of the search and all members of its cluster. An empty table gives no rows.
     """

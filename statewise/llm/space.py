@@ -48,20 +48,18 @@ def _cut(z: np.ndarray, overlap: float) -> tuple[int, float]:
 
 
 def fit(sample: np.ndarray, n: int, radius: float, part: int = PART) -> Space:
-    """Principal axes and cuts of a sample of vectors, for ``n`` vectors in parts of about ``part``.
+    """Axes and cuts for ``n`` vectors in parts of about ``part``, the cuts at medians of a sample.
 
-    Two vectors at most ``radius`` apart part company at a cut only if they differ along its axis by more than the overlap; with the
-    difference spread over all coordinates that is OVERLAP standard deviations of one coordinate. The depth is bounded by the sample: a
-    cut is made only where 64 sampled vectors fall.
+    The axes are a seeded random orthonormal set, not principal axes: whatever direction two vectors differ in, its share along a random
+    axis is as likely as any other's, so a difference of length ``radius`` exceeds the overlap (OVERLAP standard deviations of one
+    coordinate) only with the tail of a normal law, and only such a pair can be parted by a cut between its two places. Along principal
+    axes differences may gather in the first one. The depth is bounded by the sample: a cut is made only where 64 sampled vectors fall.
     """
     v = np.asarray(sample, np.float64)
     if not len(v):
         v = np.zeros((1, 3))
     origin = np.median(v, axis=0)
-    inner = v - origin
-    close = np.linalg.norm(inner, axis=1)
-    inner = inner[close <= 3 * np.median(close) + 1e-12]
-    axes = np.linalg.svd(inner, full_matrices=False)[2][:DIMS].T
+    axes = np.linalg.qr(np.random.default_rng(23).normal(size=(v.shape[1], min(DIMS, v.shape[1]))))[0]
     free = max(1, v.shape[1] - 3)
     overlap = OVERLAP * radius / np.sqrt(free)
     z = (v - origin) @ axes
