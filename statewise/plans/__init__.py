@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from statewise.plans import counting, dirty, geometry, kinetics  # noqa: F401
+from statewise.plans import counting, dirty, geometry, kinetics, structures  # noqa: F401
 from statewise.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -249,6 +249,6 @@ def build(known: DataFrame, pieces: DataFrame, validators: list[Validator] | Non
 
 def random_frames(spark: SparkSession, lengths: list[int], atoms: int, seed: int = 0) -> DataFrame:
     """Trajectories of normal random coordinates, for tests of layouts."""
-    rows = spark.createDataFrame(list(enumerate(lengths)), "traj_id long, n int").where("n > 0").select("traj_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).cast("long").alias("frame"))
+    rows = spark.createDataFrame(list(enumerate(lengths)), "traj_id long, n int").where("n > 0").select("traj_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"))).alias("frame"))
     point = F.array(*[F.array(*[F.randn(seed + 3 * a + k) for k in range(3)]) for a in range(atoms)])
     return rows.select("traj_id", "frame", point.alias("xyz"))
