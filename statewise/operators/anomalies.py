@@ -23,7 +23,7 @@ BACK, CENTRE = 6, 7
 #: Stored frames with unchanged coordinates of one atom from which that atom counts as stuck.
 STUCK = 5
 #: Fence = max(upper quartile + IQR_FACTOR x interquartile range, factor x upper quartile), in the trajectory and (looser) in the block.
-IQR_FACTOR, MOLECULE_FACTOR, ATOM_FACTOR, BLOCK_LOOSER = 3.0, 6.0, 3.4, 0.7
+IQR_FACTOR, MOLECULE_FACTOR, ATOM_FACTOR, BLOCK_LOOSER = 3.0, 6.0, 3.0, 0.7
 
 SCORES = "traj_id long, frame long, frame_id long, s1 double, s2 double, rise1 double, rise2 double, hard boolean, candidate boolean, vec binary"
 
@@ -75,12 +75,16 @@ def judge_block(x: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(soft):
         return nan, nan, nan, nan, hard | stuck
     y = x[soft]
-    centre = np.median(y, axis=1)
+    middle = np.median(y, axis=1)
+    centre = middle
     m, w = len(soft), min(len(soft), 2 * CENTRE + 1)
+    if m > CENTRE:  # a steady drift would stand out where the window is cut off at the ends
+        pace = np.median(centre[CENTRE:] - centre[:-CENTRE], axis=0) / CENTRE
+        centre = centre - pace * np.arange(m)[:, None]
     near = np.clip(np.arange(m) - CENTRE, 0, m - w)[:, None] + np.arange(w)
     s1, s2 = nan.copy(), nan.copy()
     s1[soft] = np.sqrt(((centre - np.median(centre[near], axis=1)) ** 2).sum(axis=1))
-    inner = y - centre[:, None]
+    inner = y - middle[:, None]
     s2[soft] = np.sqrt(((inner - np.median(inner, axis=0)) ** 2).sum(axis=2).max(axis=1))
     return s1, s2, _rise(s1), _rise(s2), hard | stuck
 
