@@ -179,7 +179,7 @@ def spread(table: DataFrame, space: Space, n_atoms: int, copies: int) -> DataFra
 
 def gathered(batches: Iterable[pa.RecordBatch], n_atoms: int, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
     """Of one shuffled part: ids, vectors (from the origin, each id once), and the surplus copies as (id, rep)."""
-    ids, vecs, extra, reps = [], [], [], []
+    ids, packed, extra, reps = [], [], [], []
     for batch in batches:
         has = batch.column("rep").is_null().to_numpy(zero_copy_only=False)
         fid = batch.column("frame_id").to_numpy()
@@ -191,16 +191,20 @@ def gathered(batches: Iterable[pa.RecordBatch], n_atoms: int, space: Space) -> I
             kept = batch.filter(pa.array(has))
         if kept.num_rows:
             ids.append(fid[has])
-            vecs.append(vectors(framecodec.unpack(kept.column("vec"), n_atoms)) - space.origin)
+            packed.append(kept.column("vec"))
     none = np.empty(0, np.int64)
     side = (np.concatenate(extra), np.concatenate(reps)) if extra else (none, none)
     if not ids:
         if extra:
             yield none, np.empty((0, 3 * n_atoms)), side
         return
-    fid, v = np.concatenate(ids), np.concatenate(vecs)
-    fid, at = np.unique(fid, return_index=True)
-    yield fid, v[at], side
+    fid, at = np.unique(np.concatenate(ids), return_index=True)
+    column = pa.chunked_array(packed)
+    v = np.empty((len(fid), 3 * n_atoms))
+    for start in range(0, len(fid), 8192):  # decoded in place: a part is held packed and once as vectors
+        some = column.take(pa.array(at[start : start + 8192]))
+        v[start : start + 8192] = vectors(framecodec.unpack(some, n_atoms)) - space.origin
+    yield fid, v, side
 
 
 __all__ = ["CELL", "DIMS", "OVERLAP", "PART", "SAMPLE", "Space", "cells", "fit", "gathered", "groups", "part_keys", "route", "sample_vectors", "spread", "vectors"]
