@@ -201,3 +201,11 @@ def sample_vectors(frames: DataFrame, most: int, key: str = "id", features: str
     return [r[0] for r in rows], np.array([list(r[1]) for r in rows], float)
 
 
+
+
+def save_linkage(spark, z: np.ndarray, path: str) -> None:
+    spark.createDataFrame([(k, int(a), int(b), float(d), int(n)) for k, (a, b, d, n) in enumerate(z)], "step int, a int, b int, dist double, size int").coalesce(1).write.mode("errorifexists").parquet(path)
+
+
+def load_linkage(spark, path: str) -> np.ndarray:
+    return np.array([list(r)[1:] for r in spark.read.parquet(path).orderBy("step").collect()], float)

@@ -159,3 +159,15 @@ def all_pairs(vectors: DataFrame, key: str, metric, features: str = "features",
 def p_norm(distances: Column, p: float | str) -> Column:
     """(mean of d^p)^(1/p) as an aggregate; ``max`` gives the largest."""
     return F.max(distances) if p == "max" else F.pow(F.avg(F.pow(distances, F.lit(float(p)))), F.lit(1.0 / float(p)))
+
+
+def assign_with_checkpoint(frames: DataFrame, generators: DataFrame, path: str, features: str = "features") -> DataFrame:
+    """``assign`` over ``traj_id, frame``, appended to the table at ``path``; trajectories that are there already are not done again."""
+    spark = frames.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    todo = frames
+    if there:
+        todo = frames.join(spark.read.parquet(path).select("traj_id").distinct(), "traj_id", "left_anti")
+    assign(todo, generators, ["traj_id", "frame"], features).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

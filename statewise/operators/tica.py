@@ -108,3 +108,14 @@ def project(features: Column, t: Tica, which: list[int]) -> Column:
         weights = F.array(*[F.lit(float(x)) for x in t.vectors[:, k]])
         out.append(F.aggregate(F.zip_with(features, weights, lambda x, w: x.cast("double") * w), F.lit(0.0), lambda s, x: s + x))
     return F.array(*out)
+
+
+def save(spark, t: Tica, path: str) -> None:
+    """One row per array of a fitted projection."""
+    rows = [(n, list(map(int, np.shape(a))), [float(x) for x in np.ravel(a)]) for n, a in (("lag", np.array(t.lag)), ("mean", t.mean), ("correlation", t.correlation), ("covariance", t.covariance), ("values", t.values), ("vectors", t.vectors))]
+    spark.createDataFrame(rows, "name string, shape array<int>, data array<double>").coalesce(1).write.mode("errorifexists").parquet(path)
+
+
+def load(spark, path: str) -> Tica:
+    got = {r.name: np.array(r.data).reshape(r.shape) for r in spark.read.parquet(path).collect()}
+    return Tica(int(got.pop("lag")), **got)
