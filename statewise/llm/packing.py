@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from statewise.session import materialize, shuffle_partitions
 
 #: Tokens a container holds, and tokens of one unit of length: sizes are rounded up to units in the plan.
-CAPACITY, UNIT = 8192, 16
+CAPACITY, UNIT = 8192, 8
 #: Rounds of multiplicative weights and their rate.
-ROUNDS, RATE = 1500, 12.0
+ROUNDS, RATE = 600, 12.0
 
 
 def tokenizer_path() -> str:
