@@ -146,11 +146,22 @@ def stride(states: DataFrame, step: int, start: int = 0) -> DataFrame:
     return states if step == 1 and start == 0 else states.where((F.col("frame") >= start) & ((F.col("frame") - start) % step == 0))
 
 
-def stochastic_subsample(states: DataFrame, shrink: int, seed: int = 0) -> DataFrame:
-    """floor(n / shrink) frames of each trajectory without replacement, chosen by hash; trajectories too short for one drop out."""
-    w = Window.partitionBy("traj_id")
-    ranked = states.withColumn("_r", F.row_number().over(w.orderBy(F.xxhash64("traj_id", "frame", F.lit(seed)), "frame"))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_r") <= F.floor(F.col("_n") / shrink)).drop("_r", "_n")
+def stochastic_subsample(states: DataFrame, shrink: int, seed: int = 0, buckets: int = 256) -> DataFrame:
+    """floor(n / shrink) frames of each trajectory without replacement, chosen by hash; trajectories too short for one drop out.
+
+    The hashes are cut into ``buckets``; counts per bucket tell which are taken whole, and only the frames of the bucket where the quota
+    ends are ranked, so no trajectory is ranked in one task.
+    """
+    rank = F.xxhash64("traj_id", "frame", F.lit(seed))
+    rows = states.withColumn("_h", rank).withColumn("_b", F.pmod(F.shiftrightunsigned(rank, 8), F.lit(buckets)))
+    w = Window.partitionBy("traj_id").orderBy("_b")
+    sizes = rows.groupBy("traj_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    quota = F.floor(F.sum("_n").over(Window.partitionBy("traj_id")) / shrink) - F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = sizes.withColumn("_q", quota).where("_q > 0").select("traj_id", "_b", "_n", "_q")
+    ranked = rows.join(open_, ["traj_id", "_b"])
+    whole = ranked.where("_q >= _n").select(*states.columns)
+    last = ranked.where("_q < _n").withColumn("_r", F.row_number().over(Window.partitionBy("traj_id", "_b").orderBy("_h", "frame"))).where("_r <= _q")
+    return whole.unionByName(last.select(*states.columns))
 
 
 def sample_per_state(states: DataFrame, n: int, seed: int = 0, replacement: bool = False) -> DataFrame:

@@ -42,8 +42,9 @@ def heavy_keys(df: DataFrame, key: str, share: float = SHARE) -> DataFrame:
     """``key`` (long), ``n``: the keys that hold at least ``share`` of the rows with a valid key (not null, not negative), with exact counts.
 
     Every partition summarises its keys by frequent-item counters (Misra-Gries: the least counters are paid back when the summary is
-    full); the summaries are added up, with each partition's loss as the slack. What may reach the share, at most COUNTERS / share keys
-    per table, is then counted exactly with partial aggregation, so no key's rows meet in one task. Repeated rows count. An empty table,
+    full); the summaries are added up, with each partition's loss as the slack. A partition's loss is at most its rows / (counters + 1),
+    so the slack is below share / COUNTERS of all rows and at most 1.2 / share keys may reach the share. Those are then counted exactly
+    with partial aggregation, so no key's rows meet in one task. Repeated rows count. An empty table,
     or one without valid keys, has no heavy keys.
     """
     rows = df.where(valid(key)).select(F.col(key).cast("long").alias("_k"))
@@ -53,7 +54,7 @@ def heavy_keys(df: DataFrame, key: str, share: float = SHARE) -> DataFrame:
     if not bound["n"]:
         return rows.limit(0).select(F.col("_k").alias("key"), F.lit(0).cast("long").alias("n"))
     least = share * bound["n"]
-    hopeful = [r[0] for r in sketch.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") + F.lit(bound["lost"]) >= least).limit(size + 1).select("key").collect()]
+    hopeful = [r[0] for r in sketch.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") + F.lit(bound["lost"]) >= least).select("key").collect()]
     exact = rows.where(F.col("_k").isin(hopeful)).groupBy(F.col("_k").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return exact.where(F.col("n") >= least)
 
@@ -72,12 +73,13 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = SHARE,
 
 
 def skew_aggregate(df: DataFrame, key: str, partial: dict[str, Column], final: Callable[[], list[Column]], share: float = SHARE) -> DataFrame:
-    """Aggregates per key in two steps: heavy keys first by (key, salt), the salt hashed from whole rows, other keys in one step.
+    """Aggregates per key in two steps: heavy keys first by (key, salt), the salt dealt by row number so that exact copies spread too (``df``
+    should be read from storage, whose rows keep their order when a task is run again), other keys in one step.
 
     ``partial`` names the first step's aggregates, ``final`` gives the second step's over those names. Also for aggregates that Spark does
     not combine before the shuffle (collections, exact distinct counts by set).
     """
     hot = [r[0] for r in heavy_keys(df, key, share).select("key").collect()]
-    salt = F.when(F.coalesce(F.col(key).isin(hot), F.lit(False)), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(0)
+    salt = F.when(F.coalesce(F.col(key).isin(hot), F.lit(False)), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0)
     first = df.groupBy(key, salt.alias("_salt")).agg(*[c.alias(n) for n, c in partial.items()])
     return first.groupBy(key).agg(*final())

@@ -84,7 +84,9 @@ def test_sampling(spark):
     assert {(r.state, r.draw) for r in got} == {(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)}
     again = c.sample_per_state(s, 3, seed=3, replacement=True).groupBy("state").count().collect()
     assert {(r[0], r[1]) for r in again} == {(0, 3), (1, 3), (2, 3)}
-    assert c.stochastic_subsample(s, 2).groupBy("traj_id").count().collect()[0][1] in (1, 2)
+    long = states(spark, [[0] * 1001, [1] * 37, [2] * 3])
+    picked = c.stochastic_subsample(long, 4, seed=1)
+    assert {(r[0], r[1]) for r in picked.groupBy("traj_id").count().collect()} == {(0, 250), (1, 9)} and picked.distinct().count() == 259
 
 
 def test_empty(spark):
