@@ -85,10 +85,12 @@ def stays(assignments: DataFrame, least: int = 1, reach: int = REACH, penalty: f
     runs = rows.repartition("traj_id", "blk").sortWithinPartitions("traj_id", "blk").select("traj_id", "blk", "frame", "state").mapInArrow(lambda it: _runs(it, reach, penalty), "traj_id long, blk long, state long, first_frame long, last_frame long, n_frames long")
     border = (F.col("first_frame") - F.col("blk") * block < reach) | ((F.col("blk") + 1) * block - F.col("last_frame") <= reach)
     runs = runs.withColumn("_open", border).where(F.col("_open") | (F.col("n_frames") >= least))
-    across = Window.partitionBy("traj_id", "state", "_open").orderBy("first_frame")
+    # closed stays are done: they only pass through, by block; open ones meet their neighbours across borders
+    runs = runs.withColumn("_k", F.when(F.col("_open"), F.lit(-1)).otherwise(F.pmod("blk", F.lit(1 << 30))))
+    across = Window.partitionBy("traj_id", "state", "_k").orderBy("first_frame")
     begins = F.coalesce(F.col("first_frame") - F.lag("last_frame").over(across) > reach, F.lit(True))
     ranked = runs.withColumn("_new", (~F.col("_open") | begins).cast("int")).withColumn("_g", F.when(F.col("_open"), F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, 0))).otherwise(-F.col("first_frame") - 1))
-    merged = ranked.groupBy("traj_id", "state", "_open", "_g").agg(F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"), F.sum("n_frames").alias("n_frames"))
+    merged = ranked.groupBy("traj_id", "state", "_k", "_g").agg(F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"), F.sum("n_frames").alias("n_frames"))
     return merged.where(F.col("n_frames") >= least).select("traj_id", "state", "first_frame", "last_frame", "n_frames", (F.col("last_frame") - F.col("first_frame") + 1).alias("duration"))
 
 
