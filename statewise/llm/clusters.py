@@ -131,14 +131,53 @@ def cluster_pairs(members: DataFrame) -> DataFrame:
     return a.join(b, "cluster").where("frame_id_a < frame_id_b").select("frame_id_a", "frame_id_b")
 
 
-def describe_clusters(members: DataFrame, table: DataFrame, n_atoms: int = 22, typical: int = 3) -> DataFrame:
+#: Members from which a cluster is described in parts.
+LARGE = 10_000
+DESCRIBED = "cluster long, size long, medoid long, typical array<long>, spread double"
+
+
+def describe_clusters(members: DataFrame, table: DataFrame, n_atoms: int = 22, typical: int = 3, large: int = LARGE) -> DataFrame:
     """``cluster, size, medoid, typical, spread``: size, the ``typical`` members nearest to the cluster's mean, the first of them, and the
     root mean squared distance from the mean.
 
-    The member nearest to the mean is the one with the least sum of squared distances to all members, so medoids need sums only: one
-    vector sum per cluster and partition, merged, then one distance per member. Ties go to the smaller id.
+    The member nearest to the mean is the one with the least sum of squared distances to all members, so medoids need no pairs. Ties go to
+    the smaller id. Clusters of up to ``large`` members are described where their members meet; larger ones by mergeable sums.
     """
-    rows = table.join(members, "frame_id").dropDuplicates(["frame_id"])
+    members = materialize(members)
+    big = materialize(members.groupBy("cluster").count().where(F.col("count") > large).select("cluster"))
+    rows = table.join(members, "frame_id")
+    if not big.limit(1).count():
+        return _describe_small(rows, n_atoms, typical)
+    big = sized(big)
+    return _describe_small(rows.join(big, "cluster", "left_anti"), n_atoms, typical).unionByName(_describe_large(rows.join(big, "cluster", "left_semi"), n_atoms, typical))
+
+
+def _describe_small(rows: DataFrame, n_atoms: int, typical: int) -> DataFrame:
+    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for group in sp.groups(batches, ["cluster"]):
+            ids, at = np.unique(group["frame_id"].to_numpy(), return_index=True)
+            v = sp.vectors(framecodec.unpack(group["vec"].combine_chunks().take(pa.array(at)), n_atoms))
+            d = np.round(((v - v.mean(axis=0)) ** 2).sum(axis=1), 12)
+            best = ids[np.lexsort((ids, d))[:typical]].tolist()
+            out.append((group["cluster"][0].as_py(), len(ids), best[0], best, round(float(np.sqrt(d.mean())), 6)))
+            if len(out) == 4096:
+                yield _record(out)
+                out = []
+        if out:
+            yield _record(out)
+
+    return rows.select("cluster", "frame_id", "vec").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(describe, DESCRIBED)
+
+
+def _record(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["cluster", "size", "medoid", "typical", "spread"])
+
+
+def _describe_large(rows: DataFrame, n_atoms: int, typical: int) -> DataFrame:
+    """One vector sum per cluster and Arrow batch, merged, then one distance per member; the nearest of each salted part meet at the end."""
+    rows = rows.dropDuplicates(["frame_id"])
     width = 3 * n_atoms
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,7 +121,8 @@ def test_components_in_rounds(spark):
         assert all(got[k] == 0 for k in [*range(31), 100]) and all(got[k] == 31 for k in range(31, 61)) and got[201] == 200
 
 
-def test_medoids(spark):
+@pytest.mark.parametrize("large", [3, 10_000])
+def test_medoids(spark, large):
     x = conformations(30, 6, 5)
     table = packed(spark, x)
     v = sp.vectors(x)
@@ -129,7 +130,7 @@ def test_medoids(spark):
     by = {}
     for r in members.collect():
         by.setdefault(r.cluster, []).append(r.frame_id)
-    for r in clusters.describe_clusters(members, table).collect():
+    for r in clusters.describe_clusters(members, table, large=large).collect():
         m = sorted(by[r.cluster])
         cost = [np.round(((v[m] - v[i]) ** 2).sum(), 9) for i in m]
         assert r["size"] == len(m) and r.medoid == m[int(np.argmin(cost))] and len(r.typical) == min(3, len(m))
