@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 #: Before a capital, a digit or an opening mark: titles, references, units.
 BEFORE_NAMES = (
     "Dr Mr Mrs Ms Prof St Mt Sr Sra Srta Dra Lic Ing Hr Fr Lt Laut Rev Gen Col Capt Cpt Sgt Hon Gov Sen Rep Messrs Mme Mlle Mgr M MM Me Cía EE "
-    "Univ Dept Abt Geb Inst Bd Co vs approx ca bzw evtl ggf usf inkl exkl Abb Tab Kap Bsp Anm Aufl Bd Hrsg vgl Vgl s S u Str Tel "
-    "éd env fig Fig Figs Eq Eqs Sec Ch ch chap Chap Cf cf aprox pág págs Cap cap art Art núm Núm núms tel "
+    "Univ Dept Abt Geb Inst Bd Co vs approx ca bzw evtl ggf usf inkl exkl Abb Tab Kap Bsp Anm Aufl Bd Hrsg vgl Vgl u Str Tel "
+    "éd env fig Fig Figs Eq Eqs Sec chap Chap Cf cf aprox pág págs núm Núm núms "
     "Проф проф ул д кв г гг стр рис табл см См ок акад им пр просп пл гл Гл ред изд т тел "
     "डॉ क्र रु पृ प्रो सं د ص أ م ا ج ดร นาย นาง ศ รศ ผศ"
 ).split()
 #: Before a digit only.
-BEFORE_NUMBERS = "No no Nos nos Nr nr Vol vol Vols pp p P ext Ext op Op v V Bl Blatt тыс млн млрд руб".split()
+BEFORE_NUMBERS = "s S art Art ch Ch cap Cap tel No no Nos nos Nr nr Vol vol Vols pp p P ext Ext op Op v V Bl Blatt тыс млн млрд руб".split()
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 ORDINAL_AFTER = "der die das dem den des am im vom zum beim ab seit bis".split()
 
