@@ -201,6 +201,18 @@ def sample_vectors(frames: DataFrame, most: int, key: str = "id", features: str
     return [r[0] for r in rows], np.array([list(r[1]) for r in rows], float)
 
 
+def hierarchical(frames: DataFrame, k: int, method: str = "average", most: int = 2000, key: str = "id", features: str = "features", seed: int = 0) -> DataFrame:
+    """``key, state`` of every row of ``frames``: the linkage of a sample of at most ``most`` vectors, cut into ``k`` clusters, defines the
+    clusters; every vector outside the sample gets the cluster of its nearest sampled one (ties: the smaller key). Null features give a null state."""
+    ids, x = sample_vectors(frames, most, key, features, seed)
+    label = cut(linkage(distances(x), method), k=k).tolist() if ids else []
+    spark = frames.sparkSession
+    kind = dict(frames.dtypes)[key]
+    rank = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], f"gid long, {features} array<double>")
+    of_rank = F.broadcast(spark.createDataFrame(list(enumerate(label)), "_rank long, _state int"))
+    own = F.broadcast(spark.createDataFrame(list(zip(ids, label, strict=True)), f"{key} {kind}, _own int"))
+    near = assign(frames, rank, [key], features).withColumnRenamed("state", "_rank")
+    return near.join(of_rank, "_rank", "left").join(own, key, "left").select(key, F.coalesce("_own", "_state").alias("state"))
 
 
 def save_linkage(spark, z: np.ndarray, path: str) -> None:

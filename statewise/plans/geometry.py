@@ -192,11 +192,7 @@ def subsampled_clarans(s, d):
     return s.createDataFrame([(k, x) for k, x in enumerate(m)], "state int, id long")
 
 
-@query("hierarchical")
-def hierarchical(s, d):
-    ids, x = clustering.sample_vectors(embedded(s, d), 2000)
-    label = clustering.cut(clustering.linkage(clustering.distances(x), "average"), k=10)
-    return s.createDataFrame([(i, int(k)) for i, k in zip(ids, label, strict=True)], "id long, state int")
+query("hierarchical")(lambda s, d: clustering.hierarchical(embedded(s, d), 10))
 
 
 # Frames and catalogs.

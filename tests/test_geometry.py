@@ -102,6 +102,21 @@ def test_linkage_and_medoids():
     assert cost == pytest.approx(0.3) and len(set(label)) == 3
 
 
+def test_hierarchical_labels_every_vector(spark, tmp_path):
+    from statewise.plans.registry import QUERIES
+
+    rng = np.random.default_rng(0)
+    blob = np.arange(2050) % 10
+    x = rng.normal(size=(10, 64))[blob] * 5 + rng.normal(size=(2050, 64)) * 0.1
+    rows = [(k, v.tolist(), int(b)) for k, (v, b) in enumerate(zip(x, blob, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.id: r.state for r in QUERIES["hierarchical"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2050 and len(set(got.values())) == 10 and len({(blob[k], s) for k, s in got.items()}) == 10
+    few = frame(spark, [[0.0], [0.1], [7.0]]).unionByName(spark.createDataFrame([(9, None)], "id long, features array<double>"))
+    assert {r.id: r.state for r in clustering.hierarchical(few, 2).collect()} == {0: 0, 1: 0, 2: 1, 9: None}
+    assert clustering.hierarchical(few.limit(0), 2).count() == 0
+
+
 def test_tica(spark):
     x, df = sequence(spark, 60, 3)
     m = tica.moments(df, 2, 2, size=8)
