@@ -206,24 +206,55 @@ def whole(s, d):
     return rows.where(worst < 100)
 
 
+def not_finite():
+    return F.coalesce(F.exists(F.flatten("xyz"), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+
+
+
+def complete(s, d):
+    """Every frame that holds 22 atoms, once, however large its coordinates are; the operators leave out what is not finite."""
+    return table(s, d, "xyz_frames").where(F.size("xyz") == 22).dropDuplicates(["frame_id"])
+
+
+def finite(s, d):
+    return complete(s, d).where(~not_finite())
+
+
 def _d(i, j):
     return "sqrt(" + " + ".join(f"pow(xyz[{i + 1}][{k}] - xyz[{j + 1}][{k}], 2)" for k in (1, 2, 3)) + ")"
 
 
 PAIR_LIST = [(0, 5), (3, 9), (7, 21)]
-query("atom_pair_distances", WHOLE + " SELECT frame_id, " + ", ".join(f"round({_d(i, j)}, 6) AS d{n}" for n, (i, j) in enumerate(PAIR_LIST)) + " FROM f" + SANE)(
-    lambda s, d: whole(s, d).withColumn("_p", v.atom_pairs(F.col("xyz"), PAIR_LIST)).select("frame_id", *[F.round(F.col("_p")[n], 6).alias(f"d{n}") for n in range(len(PAIR_LIST))])
-)
-query("contact_bool", WHOLE + " SELECT frame_id, " + ", ".join(f"{_d(i, j)} < 0.5 AS c{n}" for n, (i, j) in enumerate(PAIR_LIST)) + " FROM f" + SANE)(
-    lambda s, d: whole(s, d).withColumn("_c", v.boolean_contacts(v.atom_pairs(F.col("xyz"), PAIR_LIST), 0.5)).select("frame_id", *[F.col("_c")[n].alias(f"c{n}") for n in range(len(PAIR_LIST))])
-)
-query("residue_contacts", WHOLE + " SELECT frame_id, round(least(" + ", ".join(_d(i, j) for i in (0, 1, 2) for j in (10, 11)) + "), 6) AS dist FROM f" + SANE)(
-    lambda s, d: whole(s, d).select("frame_id", F.round(v.contacts(F.col("xyz"), [[0, 1, 2], [10, 11]], [(0, 1)])[0], 6).alias("dist"))
-)
+
+
+def atom_pair_distances(frames):
+    return frames.withColumn("_p", v.atom_pairs(F.col("xyz"), PAIR_LIST)).select("frame_id", *[F.round(F.col("_p")[n], 6).alias(f"d{n}") for n in range(len(PAIR_LIST))])
+
+
+def contact_bool(frames):
+    return frames.withColumn("_c", v.boolean_contacts(v.atom_pairs(F.col("xyz"), PAIR_LIST), 0.5)).select("frame_id", *[F.col("_c")[n].alias(f"c{n}") for n in range(len(PAIR_LIST))])
+
+
+def residue_contacts(frames):
+    return frames.select("frame_id", F.round(v.contacts(F.col("xyz"), [[0, 1, 2], [10, 11]], [(0, 1)])[0], 6).alias("dist"))
+
+
+def centred_frames(frames):
+    return frames.select("frame_id", v.centre(F.col("xyz"))[0].alias("p")).select("frame_id", *[F.round(F.col("p")[k], 6).alias("xyz"[k]) for k in range(3)])
+
+
+query("atom_pair_distances", WHOLE + " SELECT frame_id, " + ", ".join(f"round({_d(i, j)}, 6) AS d{n}" for n, (i, j) in enumerate(PAIR_LIST)) + " FROM f" + SANE)(lambda s, d: atom_pair_distances(whole(s, d)))
+query("contact_bool", WHOLE + " SELECT frame_id, " + ", ".join(f"{_d(i, j)} < 0.5 AS c{n}" for n, (i, j) in enumerate(PAIR_LIST)) + " FROM f" + SANE)(lambda s, d: contact_bool(whole(s, d)))
+query("residue_contacts", WHOLE + " SELECT frame_id, round(least(" + ", ".join(_d(i, j) for i in (0, 1, 2) for j in (10, 11)) + "), 6) AS dist FROM f" + SANE)(lambda s, d: residue_contacts(whole(s, d)))
 query("centred_frames", WHOLE + ", m AS (SELECT frame_id, xyz, list_avg(list_transform(xyz, lambda p: p[1])) AS a, list_avg(list_transform(xyz, lambda p: p[2])) AS b, list_avg(list_transform(xyz, lambda p: p[3])) AS c FROM f" + SANE + ") SELECT frame_id, round(xyz[1][1] - a, 6) AS x, round(xyz[1][2] - b, 6) AS y, round(xyz[1][3] - c, 6) AS z FROM m")(
-    lambda s, d: whole(s, d).select("frame_id", v.centre(F.col("xyz"))[0].alias("p")).select("frame_id", *[F.round(F.col("p")[k], 6).alias("xyz"[k]) for k in range(3)])
+    lambda s, d: centred_frames(whole(s, d))
 )
-query("sincos_torsions")(lambda s, d: whole(s, d).select("frame_id", F.transform(v.torsions(F.col("xyz"), [(4, 6, 8, 14), (6, 8, 14, 16)]), lambda x: F.round(x, 6)).alias("features")))
+# The SQL of these four leaves out frames that reach 100 nm; the same over every finite frame, without SQL:
+query("atom_pair_distances_all")(lambda s, d: atom_pair_distances(finite(s, d)))
+query("contact_bool_all")(lambda s, d: contact_bool(finite(s, d)))
+query("residue_contacts_all")(lambda s, d: residue_contacts(finite(s, d)))
+query("centred_frames_all")(lambda s, d: centred_frames(finite(s, d)))
+query("sincos_torsions")(lambda s, d: finite(s, d).select("frame_id", F.transform(v.torsions(F.col("xyz"), [(4, 6, 8, 14), (6, 8, 14, 16)]), lambda x: F.round(x, 6)).alias("features")))
 
 
 def reference(s, d):
@@ -231,10 +262,16 @@ def reference(s, d):
     return np.array([list(r) for r in rows], float)
 
 
-query("reference_rmsd")(lambda s, d: neighbors.reference_rmsd(whole(s, d), reference(s, d), ["frame_id", "traj_id"]).withColumn("dist", F.round("dist", 6)))
-query("rmsd_explosions")(
-    lambda s, d: cat.exploded(neighbors.reference_rmsd(whole(s, d), reference(s, d), ["frame_id", "traj_id"]), 0.5)(None)
-)
+query("reference_rmsd")(lambda s, d: neighbors.reference_rmsd(finite(s, d), reference(s, d), ["frame_id", "traj_id"]).withColumn("dist", F.round("dist", 6)))
+
+
+@query("rmsd_explosions")
+def rmsd_explosions(s, d):
+    """A frame with a coordinate that is not finite is infinitely far off."""
+    far = complete(s, d).where(not_finite()).select("frame_id", "traj_id", F.lit(float("inf")).alias("dist"))
+    return cat.exploded(neighbors.reference_rmsd(finite(s, d), reference(s, d), ["frame_id", "traj_id"]).unionByName(far), 0.5)(None)
+
+
 query("min_length_filter", "SELECT traj_id FROM (SELECT traj_id, count(*) AS n FROM xyz_frames WHERE traj_id IS NOT NULL GROUP BY 1) WHERE n < 100")(lambda s, d: cat.too_short(100)(table(s, d, "xyz_frames").where("traj_id is not null")).select("traj_id"))
 query("valid_trajectories", "SELECT CAST(row_number() OVER (ORDER BY traj_id) - 1 AS BIGINT) AS index, traj_id, length FROM traj_catalog WHERE errors IS NULL")(lambda s, d: cat.Catalog(table(s, d, "traj_catalog")).lengths())
 query("n_trajs", "SELECT count(*) AS n_trajs FROM traj_catalog WHERE errors IS NULL")(lambda s, d: cat.Catalog(table(s, d, "traj_catalog")).n_trajs())

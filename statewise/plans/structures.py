@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from statewise.operators import counting, neighbors, structures
 from statewise.plans.counting import COUNTS, EVENTS, event_states, held
-from statewise.plans.geometry import ASSIGN, embedded, reference, whole
+from statewise.plans.geometry import ASSIGN, embedded, finite, reference
 from statewise.plans.registry import query, table
 from statewise.streaming import trajectories as st
 
@@ -38,20 +38,20 @@ def streaming_event_windows(s, d):
 
 @query("aligned_positions")
 def aligned_positions(s, d):
-    a = structures.aligned(whole(s, d), reference(s, d), ["frame_id"])
+    a = structures.aligned(finite(s, d), reference(s, d), ["frame_id"])
     return a.select("frame_id", F.transform("features", lambda x: F.round(x, 4)).alias("features"))
 
 
 @query("permuted_rmsd")
 def permuted_rmsd(s, d):
-    a = structures.permuted_rmsd(whole(s, d), reference(s, d), ["frame_id"], list(range(4, 16)), [[0, 1, 2, 3], [19, 20, 21]])
+    a = structures.permuted_rmsd(finite(s, d), reference(s, d), ["frame_id"], list(range(4, 16)), [[0, 1, 2, 3], [19, 20, 21]])
     return a.select("frame_id", F.round(F.col("features")[0], 6).alias("dist"))
 
 
 @query("surface_areas")
 def surface_areas(s, d):
     names = [r[0] for r in table(s, d, "atoms").orderBy("atom").select("name").collect()]
-    a = structures.surface_areas(whole(s, d), names, ["frame_id"])
+    a = structures.surface_areas(finite(s, d), names, ["frame_id"])
     return a.select("frame_id", F.posexplode("area").alias("atom", "a")).select("frame_id", "atom", F.round("a", 4).alias("area"))
 
 

@@ -117,6 +117,26 @@ def test_hierarchical_labels_every_vector(spark, tmp_path):
     assert clustering.hierarchical(few.limit(0), 2).count() == 0
 
 
+def test_far_and_broken_frames_count(spark, tmp_path):
+    from statewise.plans.registry import QUERIES
+
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(22, 3))
+    far, nan, inf = base.copy(), base.copy(), base.copy()
+    far[3, 0], nan[5, 1], inf[7, 2] = 400.0, np.nan, np.inf
+    rows = [(k, 10 + k, 0, None if x is None else x.tolist()) for k, x in enumerate([base, far, nan, inf, None, base[:3]])]
+    spark.createDataFrame(rows, "frame_id long, traj_id long, frame long, xyz array<array<double>>").write.parquet(str(tmp_path / "xyz_frames.parquet"))
+    atoms = [(k, "C", *map(float, p)) for k, p in enumerate(base)]
+    spark.createDataFrame(atoms, "atom int, name string, x double, y double, z double").write.parquet(str(tmp_path / "atoms.parquet"))
+    got = {r.traj_id: r.errors for r in QUERIES["rmsd_explosions"](spark, str(tmp_path)).collect()}
+    assert set(got) == {11, 12, 13} and got[12] == got[13] == "Explosion: Infinity"
+    assert float(got[11].split()[1]) == pytest.approx(linalg.min_rmsd(far[None], base)[0], abs=1e-4)
+    for name in ("reference_rmsd", "aligned_positions", "permuted_rmsd", "surface_areas", "sincos_torsions", "atom_pair_distances_all", "contact_bool_all", "residue_contacts_all", "centred_frames_all"):
+        assert {r.frame_id for r in QUERIES[name](spark, str(tmp_path)).collect()} == {0, 1}, name
+    pair = QUERIES["atom_pair_distances_all"](spark, str(tmp_path)).where("frame_id = 1").first()
+    assert pair.d1 == pytest.approx(np.linalg.norm(far[3] - far[9]), abs=1e-6)
+
+
 def test_tica(spark):
     x, df = sequence(spark, 60, 3)
     m = tica.moments(df, 2, 2, size=8)
