@@ -93,6 +93,13 @@ def pairwise_condensed(s, d):
     return neighbors.all_pairs(embedded(s, d).where("label = 3"), "id", v.metric("euclidean")).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
+@query("pairwise_all")
+def pairwise_all(s, d):
+    """The condensed distances of all vectors; ``pairwise_condensed`` has those of one label, for its SQL."""
+    e = embedded(s, d)
+    return neighbors.all_pairs(e, "id", v.metric("euclidean"), blocks=max(8, -(-e.count() // 500))).select("a", "b", F.round("dist", 6).alias("dist"))
+
+
 ASSIGN = ROWS + ", g AS (SELECT a.vec_id AS id, b.vec_id AS gid, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM e a JOIN e b ON b.vec_id < 20 AND a.k = b.k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, gid) AS r FROM g)"
 
 

@@ -137,6 +137,16 @@ def test_far_and_broken_frames_count(spark, tmp_path):
     assert pair.d1 == pytest.approx(np.linalg.norm(far[3] - far[9]), abs=1e-6)
 
 
+def test_every_pair_of_vectors(spark, tmp_path):
+    from statewise.plans.registry import QUERIES
+
+    x = np.random.default_rng(0).normal(size=(40, 64)).astype(np.float32)
+    spark.createDataFrame([(3 * k, r.tolist(), k % 5) for k, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = QUERIES["pairwise_all"](spark, str(tmp_path)).collect()
+    want = {(3 * i, 3 * j): np.linalg.norm(x[i].astype(float) - x[j]) for i, j in itertools.combinations(range(40), 2)}
+    assert len(rows) == len(want) == 780 and {(r.a, r.b): r.dist for r in rows} == pytest.approx(want, abs=1e-6)
+
+
 def test_tica(spark):
     x, df = sequence(spark, 60, 3)
     m = tica.moments(df, 2, 2, size=8)
