@@ -17,31 +17,51 @@ from statewise.session import materialize, sized
 RADIUS = 0.025
 
 
-def close_pairs(v: np.ndarray, z: np.ndarray, overlap: float, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of rows of ``v`` within ``radius``, each found in at least one cell; distances near the radius are settled in double."""
-    top = np.float32(radius * radius)
-    v32 = v.astype(np.float32)
-    left, right = [], []
-    for at in sp.cells(z, overlap):
-        for start in range(0, len(at), 2048):
-            some = at[start : start + 2048]
-            w, u = v32[some], v32[at]
-            d = (w * w).sum(axis=1)[:, None] + (u * u).sum(axis=1)[None, :] - 2 * (w @ u.T)
-            i, j = np.nonzero(d <= top * np.float32(1.001) + np.float32(1e-7))
-            i, j, dd = some[i], at[j], d[i, j]
+#: Rows of a tile of the comparison.
+TILE = 512
+
+
+def close_pairs(v: np.ndarray, space: sp.Bands, bands: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of ``v`` (taken from the origin) within the radius, one row of each of the two ``bands`` (which may be the same band).
+
+    Every pair of rows is compared: in tiles ordered by distance from the origin, of which those further apart than the radius are left out,
+    on a few axes in single precision with room for its rounding, and what remains by the full distance in double precision.
+    """
+    radius = space.radius
+    far = np.linalg.norm(v, axis=1)
+    order = np.argsort(far, kind="stable")
+    far = far[order]
+    z = (v[order] @ space.axes).astype(np.float32)
+    half = (z.astype(np.float64) ** 2).sum(axis=1) / 2
+    one = np.ones((len(z), 1), np.float32)
+    minus = (-half[:, None]).astype(np.float32)
+    left, right = np.hstack([z, minus, one]), np.ascontiguousarray(np.hstack([z, one, minus]).T)
+    starts = np.arange(0, len(z), TILE)
+    ends = np.minimum(starts + TILE, len(z))
+    low = np.searchsorted(space.edges, far[starts] - 1e-9)
+    high = np.searchsorted(space.edges, far[ends - 1] + 1e-9)
+    none = np.empty(0, np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = [(none, none)]
+    for t, (s, e) in enumerate(zip(starts, ends, strict=True)):
+        for u in range(t, len(starts)):
+            if far[starts[u]] - far[e - 1] > radius * (1 + 1e-6) + 1e-9:
+                break
+            if bands[0] != bands[1] and low[t] == high[t] == low[u] == high[u]:
+                continue
+            at = starts[u]
+            room = 1e-7 + 8e-6 * float(half[s:e].max() + half[at : ends[u]].max())
+            hit = np.flatnonzero(left[s:e] @ right[:, at : ends[u]] >= np.float32(-radius * radius / 2 - room))
+            if not len(hit):
+                continue
+            i, j = np.divmod(hit, ends[u] - at)
+            i, j = i + s, j + at
             ahead = i < j
-            i, j, dd = i[ahead], j[ahead], dd[ahead]
-            near = dd > top * np.float32(0.999) - np.float32(1e-7)
-            if near.any():
-                ok = np.ones(len(i), bool)
-                ok[near] = ((v[i[near]] - v[j[near]]) ** 2).sum(axis=1) <= radius * radius * (1 + 1e-9)
-                i, j = i[ok], j[ok]
-            left.append(i)
-            right.append(j)
-    if not left:
-        none = np.empty(0, np.int64)
-        return none, none
-    return np.concatenate(left), np.concatenate(right)
+            i, j = order[i[ahead]], order[j[ahead]]
+            for k in range(0, len(i), 16384):
+                p, q = i[k : k + 16384], j[k : k + 16384]
+                ok = ((v[p] - v[q]) ** 2).sum(axis=1) <= radius * radius * (1 + 1e-9)
+                found.append((p[ok], q[ok]))
+    return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
 
 
 def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -58,12 +78,21 @@ def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def local_clusters(table: DataFrame, space: sp.Space, n_atoms: int, radius: float) -> DataFrame:
-    """``frame_id, label, copied``: for each part, the frames of its clusters of two or more with the smallest id of the cluster."""
+def local_clusters(table: DataFrame, space: sp.Bands, n_atoms: int) -> DataFrame:
+    """``frame_id, label``: for each pair of bands, the frames of its clusters of two or more with the smallest id of the cluster."""
+    pairs = dict(zip(sp.part_keys(table.sparkSession, space.parts), space.pairs, strict=True))
 
     def cluster(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fid, v, (extra, rep) in sp.gathered(batches, n_atoms, space):
-            lab = labels(len(fid), *close_pairs(v, (v @ space.axes).astype(np.float32), space.overlap, radius))
+        keys: set[int] = set()
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys.update(batch.column("part").unique().to_pylist())
+                yield batch
+
+        for fid, v, (extra, rep) in sp.gathered(noted(), n_atoms, space):
+            (key,) = keys
+            lab = labels(len(fid), *close_pairs(v, space, pairs[key]))
             size = np.bincount(lab, minlength=len(fid))
             some = size[lab] > 1
             ids, lab = np.concatenate([fid[some], extra]), np.concatenate([fid[lab[some]], rep])
@@ -107,13 +136,14 @@ def components(edges: DataFrame, one_task: int = 2_000_000) -> DataFrame:
 def cluster_frames(table: DataFrame, n_atoms: int = 22, radius: float = RADIUS, part: int = sp.PART) -> DataFrame:
     """``frame_id, cluster`` of every frame that another frame lies within ``radius`` of; ``cluster`` is the smallest id of its cluster.
 
-    Density clustering (a frame with a neighbour is a core point): frames are reduced to random orthonormal axes, cut into parts with overlapping
-    margins, clustered in each part, and local clusters that share a frame are merged. ``table`` has ``frame_id, vec`` (packed frames);
+    Density clustering (a frame with a neighbour is a core point): frames are dealt into bands by their distance from an origin, every two bands
+    that the radius can span are clustered together, and local clusters that share a frame are merged. No pair within the radius is lost;
+    the comparisons grow with the square of the frames. ``table`` has ``frame_id, vec`` (packed frames);
     the same id twice counts once, exact copies are one point of the search and all members of its cluster. An empty table gives no rows.
     """
     n = table.count()
-    space = sp.fit(sp.sample_vectors(table, n, n_atoms), n, radius, part)
-    local = materialize(local_clusters(table, space, n_atoms, radius))
+    space = sp.bands(sp.sample_vectors(table, n, n_atoms), n, radius, part)
+    local = materialize(local_clusters(table, space, n_atoms))
     member = local.groupBy("frame_id").agg(F.min("label").alias("label"), F.max("label").alias("_top"), F.collect_set("label").alias("_all"))
     member = materialize(member.select("frame_id", "label", F.when(F.col("_top") != F.col("label"), F.col("_all")).alias("_all")))
     links = member.where("_all is not null").select("label", F.explode("_all").alias("b")).select(F.col("label").alias("a"), "b")

@@ -1,4 +1,4 @@
-"""Reduced vectors, their partition into overlapping cells, and the exact copies among them: shared by clustering and neighbour search."""
+"""Vectors of frames, their partition into bands (clustering) or overlapping cells (neighbour search), and the exact copies among them."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ SAMPLE = 20_000
 DIMS, PART, CELL = 16, 90_000, 256
 #: Overlap of two neighbouring parts, in standard deviations of one coordinate of a difference of length ``radius``.
 OVERLAP = 1.8
+#: Axes on which pairs of vectors are compared before their full distance is.
+FILTER = 24
 
 
 @dataclass
@@ -34,6 +36,59 @@ class Space:
     def reduce(self, v: np.ndarray) -> np.ndarray:
         return (v - self.origin) @ self.axes
 
+    @property
+    def parts(self) -> int:
+        return 2**self.depth
+
+    def route(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return route(self, self.reduce(v))
+
+
+@dataclass
+class Bands:
+    """Bands of distance from an origin (``edges`` between them) and the pairs of bands in which two vectors within ``radius`` can lie:
+    every such pair of vectors meets in one of them (two vectors within the radius are as far from any origin, up to the radius)."""
+
+    origin: np.ndarray
+    axes: np.ndarray
+    edges: np.ndarray
+    radius: float
+
+    @property
+    def pairs(self) -> list[tuple[int, int]]:
+        reach = self.radius * (1 + 1e-6) + 1e-9
+        low, high = np.r_[-np.inf, self.edges], np.r_[self.edges, np.inf]
+        return [(a, b) for a in range(len(low)) for b in range(a, len(low)) if low[b] - high[a] <= reach]
+
+    @property
+    def parts(self) -> int:
+        return len(self.pairs)
+
+    def route(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, part) pairs: a row goes to the pairs of its band with every band that it lies within the radius of."""
+        far = np.linalg.norm(v - self.origin, axis=1)
+        band = np.searchsorted(self.edges, far)
+        reach = self.radius * (1 + 1e-6) + 1e-9
+        low, high = np.r_[-np.inf, self.edges], np.r_[self.edges, np.inf]
+        rows, parts = [], []
+        for k, (a, b) in enumerate(self.pairs):
+            at = np.flatnonzero(((band == a) & (far >= low[b] - reach)) | ((band == b) & (far <= high[a] + reach)))
+            rows.append(at)
+            parts.append(np.full(len(at), k))
+        return np.concatenate(rows), np.concatenate(parts)
+
+
+def bands(sample: np.ndarray, n: int, radius: float, part: int = PART) -> Bands:
+    """Bands of about ``part`` of ``n`` vectors, and FILTER random orthonormal axes."""
+    v = np.asarray(sample, np.float64)
+    if not len(v):
+        v = np.zeros((1, 3))
+    origin = np.median(v, axis=0)
+    axes = np.linalg.qr(np.random.default_rng(23).normal(size=(v.shape[1], min(FILTER, v.shape[1]))))[0]
+    count = min(-(-n // part), len(v))
+    edges = np.unique(np.quantile(np.linalg.norm(v - origin, axis=1), np.arange(1, count) / count)) if count > 1 else np.empty(0)
+    return Bands(origin, axes, edges, radius)
+
 
 def vectors(x: np.ndarray) -> np.ndarray:
     """(n, atoms, 3) to centred (n, 3 atoms) scaled so that the Euclidean distance is the root of the mean squared displacement."""
@@ -137,14 +192,14 @@ def sample_vectors(table: DataFrame, n: int, n_atoms: int) -> np.ndarray:
     return vectors(framecodec.unpack(rows["vec"].combine_chunks(), n_atoms)) if rows.num_rows else np.zeros((0, 3 * n_atoms))
 
 
-def spread(table: DataFrame, space: Space, n_atoms: int, copies: int) -> DataFrame:
+def spread(table: DataFrame, space: Space | Bands, n_atoms: int, copies: int) -> DataFrame:
     """``part, frame_id, rep, vec``: packed frames of ``table`` (``frame_id, vec``) shuffled to the parts of ``space``.
 
     Of exact copies within an Arrow batch only the ``copies`` smallest ids travel as vectors; each further copy becomes a narrow row with
     the smallest id as ``rep`` and no vector, dealt out evenly, so a content that fills a third of all rows does not fill one part.
     """
     spark = table.sparkSession
-    parts = 2**space.depth
+    parts = space.parts
     keys = np.array(part_keys(spark, parts), np.int32)
 
     def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +222,7 @@ def spread(table: DataFrame, space: Space, n_atoms: int, copies: int) -> DataFra
             first = order[np.flatnonzero(start)[group]]
             extra = (place >= copies) & (bits[order] == bits[first]).all(axis=1)
             keep, surplus = order[~extra], order[extra]
-            row, part = route(space, space.reduce(vectors(x[keep])))
+            row, part = space.route(vectors(x[keep]))
             vec = batch.column("vec").take(pa.array(keep[row]))
             yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(fid[keep[row]]), pa.nulls(len(row), pa.int64()), vec], ["part", "frame_id", "rep", "vec"])
             if len(surplus):
@@ -177,7 +232,7 @@ def spread(table: DataFrame, space: Space, n_atoms: int, copies: int) -> DataFra
     return table.select("frame_id", "vec").mapInArrow(mapped, "part int, frame_id long, rep long, vec binary").repartition(parts, "part")
 
 
-def gathered(batches: Iterable[pa.RecordBatch], n_atoms: int, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+def gathered(batches: Iterable[pa.RecordBatch], n_atoms: int, space: Space | Bands) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
     """Of one shuffled part: ids, vectors (from the origin, each id once), and the surplus copies as (id, rep)."""
     ids, packed, extra, reps = [], [], [], []
     for batch in batches:
@@ -207,4 +262,4 @@ def gathered(batches: Iterable[pa.RecordBatch], n_atoms: int, space: Space) -> I
     yield fid, v, side
 
 
-__all__ = ["CELL", "DIMS", "OVERLAP", "PART", "SAMPLE", "Space", "cells", "fit", "gathered", "groups", "part_keys", "route", "sample_vectors", "spread", "vectors"]
+__all__ = ["CELL", "DIMS", "FILTER", "OVERLAP", "PART", "SAMPLE", "Bands", "Space", "bands", "cells", "fit", "gathered", "groups", "part_keys", "route", "sample_vectors", "spread", "vectors"]

@@ -58,6 +58,21 @@ def test_clusters_equal_brute_force(spark, monkeypatch, part):
     assert got == {(i, r) for i, r in enumerate(root) if sizes[r] > 1}
 
 
+@pytest.mark.parametrize("part", [200, 100_000])
+def test_links_near_the_radius(spark, monkeypatch, part):
+    monkeypatch.setattr(sp, "CELL", 40)
+    rng = np.random.default_rng(8)
+    x = conformations(500, 0, 7)
+    way = rng.normal(size=x.shape)
+    way -= way.mean(axis=1, keepdims=True)
+    way *= 0.024 / np.sqrt((way**2).sum(axis=(1, 2)) / ATOMS)[:, None, None]
+    x = np.concatenate([x, x + way])
+    _, root = brute(x)
+    sizes = np.bincount(root)
+    got = {(r.frame_id, r.cluster) for r in clusters.cluster_frames(packed(spark, x), part=part).collect()}
+    assert len(got) >= 1000 and got == {(i, r) for i, r in enumerate(root) if sizes[r] > 1}
+
+
 def test_neighbours_recall(spark, monkeypatch):
     monkeypatch.setattr(sp, "CELL", 40)
     x = conformations(500, 60, 1)
