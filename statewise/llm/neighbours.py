@@ -111,45 +111,126 @@ def nearest(v: np.ndarray, ids: np.ndarray, z: np.ndarray, h: np.ndarray, overla
     return best
 
 
+#: Rows and columns of a tile of the comparison with all, and frames of a band of it.
+TILE, WIDE, BAND = 512, 4096, 180_000
+
+
+def nearest_of_all(v: np.ndarray, ids: np.ndarray, space: sp.Bands, bands: tuple[int, int], k: int) -> tuple[np.ndarray, ...]:
+    """(query row, neighbour row, distance) of the ``k`` nearest of every row at any distance, nearest first, ties by id; of two different
+    ``bands`` the neighbours of the other band (and some of the own).
+
+    Every pair of rows is compared, in tiles ordered by distance from the origin: in single precision, with room for its rounding, against the
+    k-th distance so far, and in double precision where it may be nearer. Tiles further apart than every k-th distance so far are left out.
+    """
+    n = len(v)
+    square = np.einsum("ij,ij->i", v, v)
+    order = np.argsort(square, kind="stable")
+    ids, square = ids[order], square[order]
+    far = np.sqrt(square)
+    v32 = v.astype(np.float32)[order]
+    near, other = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
+    low, high = np.searchsorted(space.edges, far - 1e-9), np.searchsorted(space.edges, far + 1e-9)
+    for s in range(0, n, TILE):
+        e = min(s + TILE, n)
+        for at in range(s, n, WIDE):
+            to = min(at + WIDE, n)
+            if far[at] - far[e - 1] > max(near[s:e, -1].max(), near[at:to, -1].max()) + 1e-9:
+                continue
+            if bands[0] != bands[1] and low[s] == high[e - 1] == low[at] == high[to - 1]:
+                continue
+            d2 = square[s:e, None].astype(np.float32) + square[None, at:to].astype(np.float32) - 2 * (v32[s:e] @ v32[at:to].T)
+            if at == s:
+                np.fill_diagonal(d2, np.inf)
+            room = 1e-7 + 2e-5 * float(square[s:e].max() + square[at:to].max())
+            rows, columns = near[s:e, -1] ** 2, near[at:to, -1] ** 2
+            if np.isinf(rows).any() and to - at > k:
+                rows = np.minimum(rows, np.partition(d2, k - 1, axis=1)[:, k - 1] + room)
+            if np.isinf(columns).any() and e - s > k:
+                columns = np.minimum(columns, np.partition(d2, k - 1, axis=0)[k - 1] + room)
+            i, j = np.nonzero((d2 <= (rows + room).astype(np.float32)[:, None]) | (d2 <= (columns + room).astype(np.float32)[None]))
+            i, j = i + s, j + at
+            i, j = i[i < j], j[i < j]
+            if not len(i):
+                continue
+            d = np.round(np.concatenate([np.sqrt(((v[order[i[c : c + 16384]]] - v[order[j[c : c + 16384]]]) ** 2).sum(axis=1)) for c in range(0, len(i), 16384)]), 10)
+            q, r, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
+            ok = d <= near[q, -1]
+            q, r, d = q[ok], r[ok], d[ok]
+            some = np.unique(q)
+            had = other[some] >= 0
+            held = np.repeat(some, had.sum(axis=1))
+            q, r, d = _best(np.concatenate([q, held]), np.concatenate([r, other[some][had]]), np.concatenate([d, near[some][had]]), ids, k)
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            near[q, place], other[q, place] = d, r
+    q, place = np.nonzero(other >= 0)
+    return order[q], order[other[q, place]], near[q, place]
+
+
 def thin_copies(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows to search (of exact copies the k + 1 smallest ids), and for each further copy its row and the first row of its content."""
-    code = np.ascontiguousarray(v).view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel()
+    code = np.empty(len(v), np.int64)
+    odd = np.random.default_rng(5).integers(1, 2**62, v.shape[1], dtype=np.int64) | 1
+    for s in range(0, len(v), 8192):  # exact copies have one code; only codes of many rows are compared in full
+        bits = np.ascontiguousarray(v[s : s + 8192]).view(np.int64)
+        with np.errstate(over="ignore"):
+            code[s : s + 8192] = (bits ^ (bits >> 29)) @ odd
     _, group, size = np.unique(code, return_inverse=True, return_counts=True)
     none = np.empty(0, np.int64)
-    if size.max(initial=0) <= k + 1:
+    some = np.flatnonzero(size[group] > k + 1)
+    if not len(some):
         return np.arange(len(ids)), none, none
-    order = np.lexsort((ids, group))
+    code = np.ascontiguousarray(v[some]).view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel()
+    _, group, size = np.unique(code, return_inverse=True, return_counts=True)
+    order = np.lexsort((ids[some], group))
     start = np.cumsum(np.r_[0, size[:-1]])
     place = np.arange(len(order)) - start[group[order]]
     extra = place > k
-    return np.sort(order[~extra]), order[extra], order[start[group[order[extra]]]]
+    further, first = some[order[extra]], some[order[start[group[order[extra]]]]]
+    return np.setdiff1d(np.arange(len(ids)), further), further, first
 
 
-def local_neighbours(table: DataFrame, space: sp.Space, n_atoms: int, radius: float, k: int) -> DataFrame:
+def local_neighbours(table: DataFrame, space: sp.Space | sp.Bands, n_atoms: int, radius: float | None, k: int) -> DataFrame:
     """``frame_id, other, d``: up to k neighbours of each frame in each part; ``d`` null where ``other`` is the representative of a further copy."""
     directions = lines(3 * n_atoms)
+    pairs = dict(zip(sp.part_keys(table.sparkSession, space.parts), space.pairs, strict=True)) if radius is None else {}
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fid, v, (extra, rep) in sp.gathered(batches, n_atoms, space):
+        keys: set[int] = set()
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys.update(batch.column("part").unique().to_pylist())
+                yield batch
+
+        for fid, v, (extra, rep) in sp.gathered(noted(), n_atoms, space):
             rows, more, first = thin_copies(fid, v, k)
-            w, ids = v[rows], fid[rows]
-            q, r, d = nearest(w, ids, (w @ space.axes).astype(np.float32), (w @ directions).astype(np.float32), space.overlap, radius, k)
-            a, b = np.concatenate([ids[q], extra, fid[more]]), np.concatenate([ids[r], rep, fid[first]])
+            more, first, ids = fid[more], fid[first], fid[rows]
+            for c in range(0, len(rows), 8192):  # in place: the rows are in order
+                v[c : c + len(rows[c : c + 8192])] = v[rows[c : c + 8192]]
+            w = v[: len(rows)]
+            if radius is None:
+                (key,) = keys
+                q, r, d = nearest_of_all(w, ids, space, pairs[key], k)
+            else:
+                q, r, d = nearest(w, ids, (w @ space.axes).astype(np.float32), (w @ directions).astype(np.float32), space.overlap, radius, k)
+            a, b = np.concatenate([ids[q], extra, more]), np.concatenate([ids[r], rep, first])
             d = pa.array(np.concatenate([d, np.full(len(a) - len(d), np.nan)]), from_pandas=True)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), d], ["frame_id", "other", "d"])
 
     return sp.spread(table, space, n_atoms, k + 1).mapInArrow(search, "frame_id long, other long, d double")
 
 
-def neighbours(table: DataFrame, n_atoms: int = 22, radius: float = RADIUS, k: int = K, part: int = sp.PART) -> DataFrame:
+def neighbours(table: DataFrame, n_atoms: int = 22, radius: float | None = RADIUS, k: int = K, part: int | None = None) -> DataFrame:
     """``frame_id, other, d``: for every frame its ``k`` nearest other frames within ``radius`` (fewer if fewer lie there), ties by smaller id.
 
     Every frame is a query against all frames. ``table`` has ``frame_id, vec`` (packed frames); the same id twice counts once, exact copies
     are neighbours at distance 0. The index is LINES projections inside overlapping parts; the loss against brute force is measured in the
-    tests and stated in the README. An empty table gives no rows.
+    tests and stated in the README. Without a radius (None) every frame gets its ``k`` nearest at any distance, by comparing all pairs. An
+    empty table gives no rows.
     """
     n = table.count()
-    space = sp.fit(sp.sample_vectors(table, n, n_atoms), n, radius, part)
+    sample = sp.sample_vectors(table, n, n_atoms)
+    space = sp.bands(sample, n, np.inf, part or BAND) if radius is None else sp.fit(sample, n, radius, part or sp.PART)
     local = materialize(local_neighbours(table, space, n_atoms, radius, k))
     best = local.where("d is not null").groupBy("frame_id").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "other"))), 1, k).alias("_n"))
     copies = local.where("d is null").select("frame_id", F.col("other").alias("_rep"))
@@ -170,3 +251,7 @@ def neighbour_pairs(found: DataFrame) -> DataFrame:
 
 def found(frames: DataFrame) -> DataFrame:
     return neighbour_pairs(neighbours(plausible(frames)))
+
+
+def nearest_frames(frames: DataFrame) -> DataFrame:
+    return neighbours(plausible(frames), radius=None)

@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": lambda s, d: stays.found(_table(s, d, "assignments")),
     "p4_stays": lambda s, d: stays.stays(_table(s, d, "assignments")),
     "p5_found": lambda s, d: neighbours.found(_table(s, d, "xyz_frames")),
+    "p5_nearest": lambda s, d: neighbours.nearest_frames(_table(s, d, "xyz_frames")),
     "p6_packed": lambda s, d: packing.packed(_table(s, d, "documents")),
     "p7_found": lambda s, d: leaks.leaks(_table(s, d, "documents"), _table(s, d, "eval_items")),
     "p8_found": lambda s, d: sentences.found(_table(s, d, "documents")),

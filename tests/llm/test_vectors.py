@@ -86,6 +86,20 @@ def test_neighbours_recall(spark, monkeypatch):
     assert all(r.frame_id_a < r.frame_id_b for r in pairs) and len(pairs) == len({tuple(r) for r in pairs})
 
 
+@pytest.mark.parametrize("part", [200, 100_000])
+def test_every_frame_has_its_nearest(spark, monkeypatch, part):
+    monkeypatch.setattr(neighbours, "TILE", 32)
+    monkeypatch.setattr(neighbours, "WIDE", 64)
+    x = conformations(400, 40, 9)
+    x = np.concatenate([x, np.repeat(x[:1], 12, axis=0)])
+    d, _ = brute(x)
+    np.fill_diagonal(d, 9)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), np.round(d[i], 10)))[:3]}
+    got = {(r.frame_id, r.other): r.d for r in neighbours.neighbours(packed(spark, x), radius=None, part=part).collect()}
+    assert len(got) == 3 * len(x) and set(got) == want and all(abs(d[p] - q) < 1e-8 for p, q in got.items())
+    assert neighbours.neighbours(packed(spark, x[:0]), radius=None).count() == 0
+
+
 def test_exact_copies_of_a_third(spark):
     x = conformations(300, 5, 2)
     hot = np.repeat(x[:1], 200, axis=0)
