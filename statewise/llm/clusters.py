@@ -17,51 +17,98 @@ from statewise.session import materialize, sized
 RADIUS = 0.025
 
 
-#: Rows of a tile of the comparison.
-TILE = 512
-
-
-def close_pairs(v: np.ndarray, space: sp.Bands, bands: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of ``v`` (taken from the origin) within the radius, one row of each of the two ``bands`` (which may be the same band).
-
-    Every pair of rows is compared: in tiles ordered by distance from the origin, of which those further apart than the radius are left out,
-    on a few axes in single precision with room for its rounding, and what remains by the full distance in double precision.
+#: Rows of a tile of the comparison, and links gathered before they are merged.
+TILE, LINKS = 512, 500_000
+
+
+class Merged:
+    """Components of rows that are linked one batch after another; links within a component are forgotten at once."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self._open: list[tuple[np.ndarray, np.ndarray]] = []
+        self._held = 0
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        a, b = self.label[i], self.label[j]
+        new = a != b
+        if new.any():
+            self._open.append((a[new], b[new]))
+            self._held += int(new.sum())
+            if self._held > LINKS:
+                self.settle()
+
+    def settle(self) -> np.ndarray:
+        if self._open:
+            i, j = (np.concatenate(x) for x in zip(*self._open, strict=True))
+            nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            root = np.arange(len(self.label))
+            root[nodes] = nodes[labels(len(nodes), at[: len(i)], at[len(i) :])]
+            self.label = root[self.label]
+            self._open, self._held = [], 0
+        return self.label
+
+
+def link_tiles(v: np.ndarray, z: np.ndarray, at: np.ndarray, far: np.ndarray, radius: float, merged: Merged, skip=None) -> None:
+    """Link every two of the rows ``at`` (in order of ``far``, their distance from the origin) within the radius.
+
+    ``z`` has coordinates on a few orthonormal axes in single precision: a pair is compared on them first, with room for rounding, then by
+    its full distance in double precision. Tiles whose distances from the origin differ by more than the radius are left out, as are those
+    that ``skip`` names and those that are one component already.
     """
-    radius = space.radius
-    far = np.linalg.norm(v, axis=1)
-    order = np.argsort(far, kind="stable")
-    far = far[order]
-    z = (v[order] @ space.axes).astype(np.float32)
-    half = (z.astype(np.float64) ** 2).sum(axis=1) / 2
-    one = np.ones((len(z), 1), np.float32)
+    part = z[at].astype(np.float64)
+    half = (part**2).sum(axis=1) / 2
+    one = np.ones((len(at), 1), np.float32)
     minus = (-half[:, None]).astype(np.float32)
-    left, right = np.hstack([z, minus, one]), np.ascontiguousarray(np.hstack([z, one, minus]).T)
-    starts = np.arange(0, len(z), TILE)
-    ends = np.minimum(starts + TILE, len(z))
-    low = np.searchsorted(space.edges, far[starts] - 1e-9)
-    high = np.searchsorted(space.edges, far[ends - 1] + 1e-9)
-    none = np.empty(0, np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = [(none, none)]
-    for t, (s, e) in enumerate(zip(starts, ends, strict=True)):
-        for u in range(t, len(starts)):
-            if far[starts[u]] - far[e - 1] > radius * (1 + 1e-6) + 1e-9:
+    left, right = np.hstack([z[at], minus, one]), np.ascontiguousarray(np.hstack([z[at], one, minus]).T)
+    for s in range(0, len(at), TILE):
+        e = min(s + TILE, len(at))
+        for t in range(s, len(at), TILE):
+            f = min(t + TILE, len(at))
+            if far[at[t]] - far[at[e - 1]] > radius * (1 + 1e-6) + 1e-9:
                 break
-            if bands[0] != bands[1] and low[t] == high[t] == low[u] == high[u]:
+            if skip is not None and skip(s, e, t, f):
                 continue
-            at = starts[u]
-            room = 1e-7 + 8e-6 * float(half[s:e].max() + half[at : ends[u]].max())
-            hit = np.flatnonzero(left[s:e] @ right[:, at : ends[u]] >= np.float32(-radius * radius / 2 - room))
+            if len(at) > 4 * TILE:
+                own = merged.settle()[at[s:e]]
+                if (own == own[0]).all() and (merged.label[at[t:f]] == own[0]).all():
+                    continue
+            room = 1e-7 + 8e-6 * float(half[s:e].max() + half[t:f].max())
+            hit = np.flatnonzero(left[s:e] @ right[:, t:f] >= np.float32(-radius * radius / 2 - room))
             if not len(hit):
                 continue
-            i, j = np.divmod(hit, ends[u] - at)
-            i, j = i + s, j + at
+            i, j = np.divmod(hit, f - t)
+            i, j = i + s, j + t
             ahead = i < j
-            i, j = order[i[ahead]], order[j[ahead]]
+            i, j = at[i[ahead]], at[j[ahead]]
             for k in range(0, len(i), 16384):
                 p, q = i[k : k + 16384], j[k : k + 16384]
                 ok = ((v[p] - v[q]) ** 2).sum(axis=1) <= radius * radius * (1 + 1e-9)
-                found.append((p[ok], q[ok]))
-    return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
+                merged.link(p[ok], q[ok])
+
+
+def near_components(v: np.ndarray, space: sp.Space) -> np.ndarray:
+    """Component labels of the rows of one part, linked within the radius; compared cell by cell, in tiles ordered by distance from the origin."""
+    merged = Merged(len(v))
+    z = (v @ sp.random_axes(v.shape[1], sp.FILTER, 29)).astype(np.float32)
+    far = np.linalg.norm(v, axis=1)
+    for at in sp.cells((v @ space.axes).astype(np.float32), space.overlap):
+        link_tiles(v, z, at[np.argsort(far[at], kind="stable")], far, space.radius, merged)
+    return merged.settle()
+
+
+def band_components(v: np.ndarray, space: sp.Bands, bands: tuple[int, int]) -> np.ndarray:
+    """Component labels of the rows of two ``bands`` (which may be the same), every row of one compared with every row of the other."""
+    far = np.linalg.norm(v, axis=1)
+    order = np.argsort(far, kind="stable")
+    low, high = np.searchsorted(space.edges, far[order] - 1e-9), np.searchsorted(space.edges, far[order] + 1e-9)
+
+    def one_band(s: int, e: int, t: int, f: int) -> bool:
+        return bands[0] != bands[1] and low[s] == high[e - 1] == low[t] == high[f - 1]
+
+    merged = Merged(len(v))
+    link_tiles(v, (v @ space.axes).astype(np.float32), order, far, space.radius, merged, one_band)
+    return merged.settle()
 
 
 def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -78,21 +125,15 @@ def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def local_clusters(table: DataFrame, space: sp.Bands, n_atoms: int) -> DataFrame:
-    """``frame_id, label``: for each pair of bands, the frames of its clusters of two or more with the smallest id of the cluster."""
-    pairs = dict(zip(sp.part_keys(table.sparkSession, space.parts), space.pairs, strict=True))
+def local_clusters(table: DataFrame, space: sp.Space | sp.Bands, n_atoms: int) -> DataFrame:
+    """``frame_id, label``: for each part, the frames of its clusters of two or more with the smallest id of the cluster."""
+    pairs = dict(zip(sp.part_keys(table.sparkSession, space.parts), space.pairs, strict=True)) if isinstance(space, sp.Bands) else None
 
     def cluster(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: set[int] = set()
-
-        def noted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys.update(batch.column("part").unique().to_pylist())
-                yield batch
-
-        for fid, v, (extra, rep) in sp.gathered(noted(), n_atoms, space):
-            (key,) = keys
-            lab = labels(len(fid), *close_pairs(v, space, pairs[key]))
+        got = sp.gathered(batches, n_atoms, space)
+        if got is not None:
+            key, fid, v, extra, rep = got
+            lab = near_components(v, space) if pairs is None else band_components(v, space, pairs[key])
             size = np.bincount(lab, minlength=len(fid))
             some = size[lab] > 1
             ids, lab = np.concatenate([fid[some], extra]), np.concatenate([fid[lab[some]], rep])
@@ -133,16 +174,21 @@ def components(edges: DataFrame, one_task: int = 2_000_000) -> DataFrame:
             return roots
 
 
-def cluster_frames(table: DataFrame, n_atoms: int = 22, radius: float = RADIUS, part: int = sp.PART) -> DataFrame:
+def cluster_frames(table: DataFrame, n_atoms: int = 22, radius: float = RADIUS, part: int = sp.PART, overlap: float | None = sp.OVERLAP) -> DataFrame:
     """``frame_id, cluster`` of every frame that another frame lies within ``radius`` of; ``cluster`` is the smallest id of its cluster.
 
-    Density clustering (a frame with a neighbour is a core point): frames are dealt into bands by their distance from an origin, every two bands
-    that the radius can span are clustered together, and local clusters that share a frame are merged. No pair within the radius is lost;
-    the comparisons grow with the square of the frames. ``table`` has ``frame_id, vec`` (packed frames);
-    the same id twice counts once, exact copies are one point of the search and all members of its cluster. An empty table gives no rows.
+    Density clustering (a frame with a neighbour is a core point) over parts of the reduced vectors that overlap by ``overlap`` standard
+    deviations of one coordinate of a difference of the radius; local clusters that share a frame are merged. A link at the full radius
+    is parted by a cut with a chance of about 1e-4 (README), a shorter one far less. With ``overlap=None`` no link can be lost: frames
+    are dealt into bands by their distance from an origin and every two bands that the radius can span are compared in full, at a cost that
+    grows with the square of the frames. ``table`` has ``frame_id, vec`` (packed frames); the same id twice counts once, exact copies are one
+    point of the search and all members of its cluster. An empty table gives no rows.
     """
     n = table.count()
-    space = sp.bands(sp.sample_vectors(table, n, n_atoms), n, radius, part)
+    if overlap is None:
+        space: sp.Space | sp.Bands = sp.bands(sp.sample_vectors(table, n, n_atoms), n, radius, part)
+    else:
+        space = sp.space_of(table, n, n_atoms, radius, part, overlap)
     local = materialize(local_clusters(table, space, n_atoms))
     member = local.groupBy("frame_id").agg(F.min("label").alias("label"), F.max("label").alias("_top"), F.collect_set("label").alias("_all"))
     member = materialize(member.select("frame_id", "label", F.when(F.col("_top") != F.col("label"), F.col("_all")).alias("_all")))
@@ -154,15 +200,23 @@ def cluster_frames(table: DataFrame, n_atoms: int = 22, radius: float = RADIUS,
     return merged.union(copied)
 
 
-def cluster_pairs(members: DataFrame) -> DataFrame:
-    """``frame_id_a, frame_id_b``: every pair of frames of one cluster, smaller id first."""
-    a = members.select("cluster", F.col("frame_id").alias("frame_id_a"))
-    b = members.select("cluster", F.col("frame_id").alias("frame_id_b"))
-    return a.join(b, "cluster").where("frame_id_a < frame_id_b").select("frame_id_a", "frame_id_b")
+def cluster_pairs(members: DataFrame, block: int = 4096) -> DataFrame:
+    """``frame_id_a, frame_id_b``: every pair of frames of one cluster, smaller id first. Members meet block by block of about ``block``, so
+    the pairs of a large cluster are many tasks."""
+    members = materialize(members)
+    large = materialize(members.groupBy("cluster").count().where(F.col("count") > block).select("cluster", F.ceil(F.col("count") / block).cast("int").alias("_n")))
+    rows = members.join(sized(large), "cluster", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    place = F.pmod(F.xxhash64("frame_id"), F.col("_n")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    a = rows.select("cluster", place.alias("_r"), F.col("frame_id").alias("frame_id_a"), every.alias("_c"))
+    b = rows.select("cluster", place.alias("_c"), F.col("frame_id").alias("frame_id_b"), every.alias("_r"))
+    return a.join(b, ["cluster", "_r", "_c"]).where("frame_id_a < frame_id_b").select("frame_id_a", "frame_id_b")
 
 
 #: Members from which a cluster is described in parts.
 LARGE = 10_000
+#: Means of large clusters (one vector each) that may be broadcast.
+MEANS = 20_000
 DESCRIBED = "cluster long, size long, medoid long, typical array<long>, spread double"
 
 
@@ -221,7 +275,7 @@ def _describe_large(rows: DataFrame, n_atoms: int, typical: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.bincount(at).astype(np.int64)), lists], ["cluster", "n", "total"])
 
     parts = rows.select("cluster", "vec").mapInArrow(sums, "cluster long, n long, total array<double>")
-    mean = parts.groupBy("cluster").agg(F.sum("n").alias("size"), F.array(*[F.sum(F.col("total")[k]) for k in range(width)]).alias("total"))
+    mean = materialize(parts.groupBy("cluster").agg(F.sum("n").alias("size"), F.array(*[F.sum(F.col("total")[k]) for k in range(width)]).alias("total")))
 
     def off(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +285,7 @@ def _describe_large(rows: DataFrame, n_atoms: int, typical: int) -> DataFrame:
                 d = ((v - m) ** 2).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("size"), batch.column("frame_id"), pa.array(np.round(d, 12))], ["cluster", "size", "frame_id", "d"])
 
-    far = rows.join(mean, "cluster").select("cluster", "size", "frame_id", "vec", "total").mapInArrow(off, "cluster long, size long, frame_id long, d double")
+    far = rows.join(sized(mean, MEANS), "cluster").select("cluster", "size", "frame_id", "vec", "total").mapInArrow(off, "cluster long, size long, frame_id long, d double")
     salt = F.pmod(F.xxhash64("frame_id"), F.lit(64))
     best = Window.partitionBy("cluster", salt).orderBy("d", "frame_id")
     some = far.withColumn("_r", F.row_number().over(best)).groupBy("cluster", "size", salt.alias("_s")).agg(F.sum("d").alias("_d"), F.collect_list(F.when(F.col("_r") <= typical, F.struct("d", "frame_id"))).alias("_t"))

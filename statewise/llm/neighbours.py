@@ -9,56 +9,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statewise.functions import framecodec
 from statewise.llm import space as sp
 from statewise.llm.conformations import plausible
-from statewise.session import materialize
+from statewise.session import materialize, sized
 
 RADIUS, K = 0.025, 3
-#: Lines of the index, collisions a candidate needs, lines counted densely before the rest is counted for survivors only.
-LINES, COLLIDE, DENSE = 16, 13, 8
+#: Overlap of parts and cells (see ``space.OVERLAP``).
+OVERLAP = 2.0
+#: Lines of the index (at most 15), and how many of them a candidate may fail to collide on.
+LINES, MISS = 15, 3
 #: Half width of a window at the full radius, in standard deviations of one coordinate of a difference of that length.
-WINDOW = 1.9
+WINDOW = 2.5
 #: The ladder of virtual rehashing: windows grow by these shares of the full width, a query stops when k verified vectors lie within the share of the radius.
 LADDER = (0.5, 1.0)
 
 
-def lines(width: int, seed: int = 11) -> np.ndarray:
-    """LINES orthonormal random directions (fewer if the vectors have fewer coordinates)."""
-    return np.linalg.qr(np.random.default_rng(seed).normal(size=(width, min(LINES, width))))[0]
+#: Rows of one block of sorted arrays, queries that are looked up at once, and steps of a window's half width in which places are kept.
+WIDEST, AT_ONCE, STEPS = 2048, 1024, 16
+#: Rows up to which a cell's sorted arrays are kept from one step of the ladder to the next.
+KEPT = 16_384
 
 
-def candidates(h: np.ndarray, window: float, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (i < j) of rows ``at`` with at least COLLIDE collisions, and the step of LADDER at which they first have them.
+class Lines:
+    """One sorted array of projections per line over some rows, and for places in it the set of the rows before that place.
 
-    Every line is an array of projections in ticks of window / 64; a collision on a line is a value inside the window around the query.
-    The windows of a block of queries are laid over the values of the cell line by line; a pair that can no longer reach the count is
-    dropped after DENSE lines, the others are counted to the end. A pair is looked at from one of its two sides only.
+    Places are kept for every border of a step (a STEPS-th of the full half width), found once by binary search. A window around a query runs
+    from one border to another; the rows inside it are the difference of the two borders' sets. Sets are bit rows, and collisions are
+    counted for all rows of a set at once, in four bit planes.
     """
-    need, dense = min(COLLIDE, h.shape[1]), min(DENSE, h.shape[1])
-    allowed = h.shape[1] - need
-    at = np.sort(at)
-    mine = h[at]
-    ticks = np.clip(np.rint(mine[:, :dense].T * (64 / window)), -16000, 16000).astype(np.int16)
-    for start in range(0, len(at), 128):
-        rows = slice(start, start + 128)
-        count = np.zeros((len(at[rows]), len(at) - start), np.uint8)
-        for k in range(dense):
-            apart = np.subtract.outer(ticks[k, rows] + np.int16(64), ticks[k, start:]).view(np.uint16)
-            count += apart <= 128
-        i, j = np.divmod(np.flatnonzero(count >= dense - allowed), count.shape[1])
-        ahead = i < j
-        i, j = i[ahead] + start, j[ahead] + start
-        apart = np.abs(mine[i] - mine[j])
-        step = np.full(len(i), len(LADDER), np.int8)
-        for n in range(len(LADDER) - 1, -1, -1):
-            step[(apart <= window * LADDER[n]).sum(axis=1) >= need] = n
-        ok = step < len(LADDER)
-        yield at[i[ok]], at[j[ok]], step[ok]
+
+    def __init__(self, ticks: np.ndarray):
+        self.rows, lines = ticks.shape
+        order = np.argsort(ticks, axis=0, kind="stable")
+        ranked = np.take_along_axis(ticks, order, axis=0)
+        self.low = int(ranked[0].min())
+        borders = np.arange(self.low, int(ranked[-1].max()) + 2)
+        self.top = len(borders) - 1
+        sets = np.zeros((self.rows + 1, -(-self.rows // 64)), np.uint64)
+        self.before = np.empty((lines, len(borders), sets.shape[1]), np.uint64)
+        place = np.arange(1, self.rows + 1)
+        for k in range(lines):
+            row = order[:, k]
+            sets[:] = 0
+            sets[place, row >> 6] = np.uint64(1) << (row & 63).astype(np.uint64)
+            np.bitwise_or.accumulate(sets, axis=0, out=sets)
+            np.take(sets, np.searchsorted(ranked[:, k], borders), axis=0, out=self.before[k])
+
+    def window(self, k: int, at: np.ndarray, width: int) -> np.ndarray:
+        """Bit rows: for each projection in ``at`` the rows whose projection on line ``k`` lies within ``width`` steps of it."""
+        at = at - self.low
+        inside = np.take(self.before[k], np.clip(at + (width + 1), 0, self.top), axis=0)
+        inside ^= np.take(self.before[k], np.clip(at - width, 0, self.top), axis=0)
+        return inside
+
+    def colliding(self, ticks: np.ndarray, width: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) with at least ``need`` collisions in windows of ``width`` steps to each side of the projections ``ticks`` of the queries."""
+        planes: list[list[np.ndarray]] = [[self.window(k, ticks[:, k], width) for k in range(ticks.shape[1])], [], [], []]
+        for b in range(4):  # three sets of one weight become one of that weight and one of the next
+            held = planes[b]
+            while len(held) > 1:
+                x, y = held.pop(), held.pop()
+                carry = x & y
+                x ^= y
+                if held:
+                    z = held.pop()
+                    carry |= x & z
+                    x ^= z
+                held.append(x)
+                if b < 3:
+                    planes[b + 1].append(carry)
+        zero = np.zeros_like(planes[0][0])
+        above, equal = zero, ~zero  # count >= need, from the highest plane down
+        for b in (3, 2, 1, 0):
+            bits = planes[b][0] if planes[b] else zero
+            if need >> b & 1:
+                equal = equal & bits
+            else:
+                above = above | (equal & bits)
+                equal = equal & ~bits
+        held_bits = above | equal
+        q, w = np.nonzero(held_bits)
+        at, bit = np.nonzero(np.unpackbits(held_bits[q, w].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        row = w[at] * 64 + bit
+        real = row < self.rows
+        return q[at[real]], row[real]
 
 
 def _best(q: np.ndarray, r: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Of (query, neighbour, distance) the k nearest of each query, nearest first, ties by id, each neighbour once."""
-    order = np.lexsort((ids[r], d, q))
+    order = np.lexsort((r if ids is None else ids[r], d, q))
     q, r, d = q[order], r[order], d[order]
     fresh = np.r_[True, (q[1:] != q[:-1]) | (r[1:] != r[:-1])][: len(q)]
     q, r, d = q[fresh], r[fresh], d[fresh]
@@ -67,105 +107,62 @@ def _best(q: np.ndarray, r: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int)
     return q[top], r[top], d[top]
 
 
-def nearest(v: np.ndarray, ids: np.ndarray, z: np.ndarray, h: np.ndarray, overlap: float, radius: float, k: int) -> tuple[np.ndarray, ...]:
+def nearest(v: np.ndarray, ids: np.ndarray, cut: np.ndarray, h: np.ndarray, overlap: float, radius: float, k: int) -> tuple[np.ndarray, ...]:
     """(query row, neighbour row, distance) of up to ``k`` verified neighbours within ``radius`` of every row, nearest first, ties by id.
 
-    Virtual rehashing: the candidates of the narrowest windows are verified first; a query with k neighbours within that step's share of
-    the radius is done, the candidates of wider windows are verified for the others. Candidates are verified once they fill a batch, so
-    memory does not grow with the number of pairs.
+    Virtual rehashing in every cell: the rows that collide with a query in the narrowest windows are verified first; a query with k neighbours
+    within that step's share of the radius is done, the windows of the others are widened (as is the window of distances from the origin). Candidates are verified block by block,
+    so memory does not grow with the number of pairs.
     """
     window = WINDOW * radius / np.sqrt(max(1, v.shape[1] - 3))
+    need = max(1, h.shape[1] - MISS)
+    ticks = np.clip(np.rint(h * (STEPS / window)), -30_000, 30_000).astype(np.int32)
     n = len(v)
+    far = np.linalg.norm(v, axis=1)
     none = np.empty(0, np.int64)
     best = (none, none, np.empty(0))
-    pending: list[tuple[np.ndarray, ...]] = []
-    held = 0
-
-    def settle() -> None:
-        nonlocal best, pending, held
-        if not pending:
-            return
-        code = np.concatenate([(i * n + j) * len(LADDER) + step for i, j, step in pending])
-        code = np.sort(code)
-        code, step = np.divmod(code, len(LADDER))
-        fresh = np.r_[True, code[1:] != code[:-1]]
-        (i, j), step = np.divmod(code[fresh], n), step[fresh]
-        for rung, share in enumerate(LADDER):
-            q, _, d = best
-            full = np.bincount(q[d <= radius * (LADDER[rung - 1] if rung else 0)], minlength=n) >= k
-            now = (step == rung) & ~(full[i] & full[j])
-            a, b = i[now], j[now]
-            d = np.concatenate([np.sqrt(((v[a[s : s + 65536]] - v[b[s : s + 65536]]) ** 2).sum(axis=1)) for s in range(0, len(a), 65536)] or [np.empty(0)])
-            good = d <= radius * (1 + 1e-9)
-            a, b, d = a[good], b[good], np.round(d[good], 10)
-            best = _best(np.concatenate([best[0], a, b]), np.concatenate([best[1], b, a]), np.concatenate([best[2], d, d]), ids, k)
-        pending, held = [], 0
-
-    for at in sp.cells(z, overlap):
-        for some in candidates(h, window, at):
-            pending.append(some)
-            held += len(some[0])
-            if held > 2_000_000:
-                settle()
-    settle()
+    fresh: list[tuple[np.ndarray, ...]] = []
+
+    def merge() -> None:
+        nonlocal best
+        i, j, d = (np.concatenate(x) for x in zip(*fresh, strict=True))
+        best = _best(np.concatenate([best[0], i, j]), np.concatenate([best[1], j, i]), np.concatenate([best[2], d, d]), ids, k)
+        fresh.clear()
+
+    for at in sp.cells(cut, overlap):
+        at = at[np.argsort(far[at], kind="stable")]
+        blocks = [at[s : s + WIDEST] for s in range(0, len(at), WIDEST)]
+        index = [Lines(ticks[b]) for b in blocks] if len(at) <= KEPT else None
+        done = np.zeros(len(at), bool)
+        for share in LADDER:
+            reach = share * radius * (1 + 1e-6) + 1e-9
+            near = np.zeros(len(at), np.int64)
+            for k_, block in enumerate(blocks):
+                low, high = np.searchsorted(far[at], [far[block[0]] - reach, far[block[-1]] + reach])
+                asked = low + np.flatnonzero(~done[low:high])
+                lines = index[k_] if index is not None else Lines(ticks[block])
+                for c in range(0, len(asked), AT_ONCE):
+                    some = asked[c : c + AT_ONCE]
+                    i, j = lines.colliding(ticks[at[some]], round(share * STEPS), need)
+                    i, j = some[i], k_ * WIDEST + j
+                    once = (i < j) | (done[j] & (i > j))  # two open rows ask each other: one of them is enough
+                    i, j = i[once], j[once]
+                    p, q = at[i], at[j]
+                    d2 = np.concatenate([((v[p[s : s + 16384]] - v[q[s : s + 16384]]) ** 2).sum(axis=1) for s in range(0, len(p), 16384)] or [np.empty(0)])
+                    good = d2 <= (radius * (1 + 1e-9)) ** 2
+                    d = np.round(np.sqrt(d2[good]), 10)
+                    fresh.append((p[good], q[good], d))
+                    close = d <= share * radius
+                    np.add.at(near, i[good][close], 1)
+                    np.add.at(near, j[good][close], 1)
+            done |= near >= k
+        if sum(len(d) for *_, d in fresh) > 1_000_000:
+            merge()
+    if fresh:
+        merge()
     return best
 
 
-#: Rows and columns of a tile of the comparison with all, and frames of a band of it.
-TILE, WIDE, BAND = 512, 4096, 180_000
-
-
-def nearest_of_all(v: np.ndarray, ids: np.ndarray, space: sp.Bands, bands: tuple[int, int], k: int) -> tuple[np.ndarray, ...]:
-    """(query row, neighbour row, distance) of the ``k`` nearest of every row at any distance, nearest first, ties by id; of two different
-    ``bands`` the neighbours of the other band (and some of the own).
-
-    Every pair of rows is compared, in tiles ordered by distance from the origin: in single precision, with room for its rounding, against the
-    k-th distance so far, and in double precision where it may be nearer. Tiles further apart than every k-th distance so far are left out.
-    """
-    n = len(v)
-    square = np.einsum("ij,ij->i", v, v)
-    order = np.argsort(square, kind="stable")
-    ids, square = ids[order], square[order]
-    far = np.sqrt(square)
-    v32 = v.astype(np.float32)[order]
-    near, other = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
-    low, high = np.searchsorted(space.edges, far - 1e-9), np.searchsorted(space.edges, far + 1e-9)
-    for s in range(0, n, TILE):
-        e = min(s + TILE, n)
-        for at in range(s, n, WIDE):
-            to = min(at + WIDE, n)
-            if far[at] - far[e - 1] > max(near[s:e, -1].max(), near[at:to, -1].max()) + 1e-9:
-                continue
-            if bands[0] != bands[1] and low[s] == high[e - 1] == low[at] == high[to - 1]:
-                continue
-            d2 = square[s:e, None].astype(np.float32) + square[None, at:to].astype(np.float32) - 2 * (v32[s:e] @ v32[at:to].T)
-            if at == s:
-                np.fill_diagonal(d2, np.inf)
-            room = 1e-7 + 2e-5 * float(square[s:e].max() + square[at:to].max())
-            rows, columns = near[s:e, -1] ** 2, near[at:to, -1] ** 2
-            if np.isinf(rows).any() and to - at > k:
-                rows = np.minimum(rows, np.partition(d2, k - 1, axis=1)[:, k - 1] + room)
-            if np.isinf(columns).any() and e - s > k:
-                columns = np.minimum(columns, np.partition(d2, k - 1, axis=0)[k - 1] + room)
-            i, j = np.nonzero((d2 <= (rows + room).astype(np.float32)[:, None]) | (d2 <= (columns + room).astype(np.float32)[None]))
-            i, j = i + s, j + at
-            i, j = i[i < j], j[i < j]
-            if not len(i):
-                continue
-            d = np.round(np.concatenate([np.sqrt(((v[order[i[c : c + 16384]]] - v[order[j[c : c + 16384]]]) ** 2).sum(axis=1)) for c in range(0, len(i), 16384)]), 10)
-            q, r, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
-            ok = d <= near[q, -1]
-            q, r, d = q[ok], r[ok], d[ok]
-            some = np.unique(q)
-            had = other[some] >= 0
-            held = np.repeat(some, had.sum(axis=1))
-            q, r, d = _best(np.concatenate([q, held]), np.concatenate([r, other[some][had]]), np.concatenate([d, near[some][had]]), ids, k)
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            near[q, place], other[q, place] = d, r
-    q, place = np.nonzero(other >= 0)
-    return order[q], order[other[q, place]], near[q, place]
-
-
 def thin_copies(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows to search (of exact copies the k + 1 smallest ids), and for each further copy its row and the first row of its content."""
     code = np.empty(len(v), np.int64)
@@ -189,58 +186,49 @@ def thin_copies(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.setdiff1d(np.arange(len(ids)), further), further, first
 
 
-def local_neighbours(table: DataFrame, space: sp.Space | sp.Bands, n_atoms: int, radius: float | None, k: int) -> DataFrame:
+def local_neighbours(table: DataFrame, space: sp.Space, n_atoms: int, radius: float, k: int) -> DataFrame:
     """``frame_id, other, d``: up to k neighbours of each frame in each part; ``d`` null where ``other`` is the representative of a further copy."""
-    directions = lines(3 * n_atoms)
-    pairs = dict(zip(sp.part_keys(table.sparkSession, space.parts), space.pairs, strict=True)) if radius is None else {}
+    axes = sp.random_axes(3 * n_atoms, sp.DIMS + LINES)
+    directions = axes[:, sp.DIMS :] if axes.shape[1] > sp.DIMS else axes[:, :LINES]
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: set[int] = set()
-
-        def noted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys.update(batch.column("part").unique().to_pylist())
-                yield batch
-
-        for fid, v, (extra, rep) in sp.gathered(noted(), n_atoms, space):
-            rows, more, first = thin_copies(fid, v, k)
-            more, first, ids = fid[more], fid[first], fid[rows]
-            for c in range(0, len(rows), 8192):  # in place: the rows are in order
-                v[c : c + len(rows[c : c + 8192])] = v[rows[c : c + 8192]]
-            w = v[: len(rows)]
-            if radius is None:
-                (key,) = keys
-                q, r, d = nearest_of_all(w, ids, space, pairs[key], k)
-            else:
-                q, r, d = nearest(w, ids, (w @ space.axes).astype(np.float32), (w @ directions).astype(np.float32), space.overlap, radius, k)
-            a, b = np.concatenate([ids[q], extra, more]), np.concatenate([ids[r], rep, first])
-            d = pa.array(np.concatenate([d, np.full(len(a) - len(d), np.nan)]), from_pandas=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), d], ["frame_id", "other", "d"])
+        got = sp.gathered(batches, n_atoms, space)
+        if got is None:
+            return
+        _, fid, v, extra, rep = got
+        rows, more, first = thin_copies(fid, v, k)
+        more, first, ids = fid[more], fid[first], fid[rows]
+        for c in range(0, len(rows), 8192):  # in place: the rows are in order
+            v[c : c + len(rows[c : c + 8192])] = v[rows[c : c + 8192]]
+        w = v[: len(rows)]
+        q, r, d = nearest(w, ids, (w @ space.axes).astype(np.float32), (w @ directions).astype(np.float32), space.overlap, radius, k)
+        a, b = np.concatenate([ids[q], extra, more]), np.concatenate([ids[r], rep, first])
+        d = pa.array(np.concatenate([d, np.full(len(a) - len(d), np.nan)]), from_pandas=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), d], ["frame_id", "other", "d"])
 
     return sp.spread(table, space, n_atoms, k + 1).mapInArrow(search, "frame_id long, other long, d double")
 
 
-def neighbours(table: DataFrame, n_atoms: int = 22, radius: float | None = RADIUS, k: int = K, part: int | None = None) -> DataFrame:
+def neighbours(table: DataFrame, n_atoms: int = 22, radius: float = RADIUS, k: int = K, part: int = sp.PART, overlap: float = OVERLAP) -> DataFrame:
     """``frame_id, other, d``: for every frame its ``k`` nearest other frames within ``radius`` (fewer if fewer lie there), ties by smaller id.
 
     Every frame is a query against all frames. ``table`` has ``frame_id, vec`` (packed frames); the same id twice counts once, exact copies
-    are neighbours at distance 0. The index is LINES projections inside overlapping parts; the loss against brute force is measured in the
-    tests and stated in the README. Without a radius (None) every frame gets its ``k`` nearest at any distance, by comparing all pairs. An
-    empty table gives no rows.
+    are neighbours at distance 0. The index is one sorted array per line inside overlapping parts and cells; the loss against brute force is
+    measured in the tests and stated in the README. ``nearest_frames`` has no radius. An empty table gives no rows.
     """
     n = table.count()
-    sample = sp.sample_vectors(table, n, n_atoms)
-    space = sp.bands(sample, n, np.inf, part or BAND) if radius is None else sp.fit(sample, n, radius, part or sp.PART)
+    space = sp.space_of(table, n, n_atoms, radius, part, overlap)
     local = materialize(local_neighbours(table, space, n_atoms, radius, k))
     best = local.where("d is not null").groupBy("frame_id").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "other"))), 1, k).alias("_n"))
     copies = local.where("d is null").select("frame_id", F.col("other").alias("_rep"))
     if copies.limit(1).count():
         copies = materialize(copies)
-        again = copies.select(F.col("frame_id").alias("_rep"), F.col("_rep").alias("_first"))
-        copies = copies.join(again, "_rep", "left").select("frame_id", F.coalesce("_first", "_rep").alias("_rep"))
-        of_rep = best.select(F.col("frame_id").alias("_rep"), "_n")
+        again = materialize(copies.join(sized(materialize(copies.select("_rep").distinct().withColumnRenamed("_rep", "frame_id"))), "frame_id", "left_semi").select(F.col("frame_id").alias("_rep"), F.col("_rep").alias("_first")))
+        copies = copies.join(sized(again), "_rep", "left").select("frame_id", F.coalesce("_first", "_rep").alias("_rep"))
+        reps = sized(materialize(copies.select(F.col("_rep").alias("frame_id")).distinct()))
+        of_rep = materialize(best.join(reps, "frame_id", "left_semi").select(F.col("frame_id").alias("_rep"), "_n"))
         own = F.slice(F.sort_array(F.concat(F.array(F.struct(F.lit(0.0).alias("d"), F.col("_rep").alias("other"))), F.filter("_n", lambda x: x["d"] == 0))), 1, k)
-        best = best.unionByName(copies.join(of_rep, "_rep").select("frame_id", own.alias("_n")))
+        best = best.unionByName(copies.join(sized(of_rep), "_rep").select("frame_id", own.alias("_n")))
     return best.select("frame_id", F.explode("_n").alias("_x")).select("frame_id", F.col("_x.other").alias("other"), F.col("_x.d").alias("d"))
 
 
@@ -253,5 +241,70 @@ def found(frames: DataFrame) -> DataFrame:
     return neighbour_pairs(neighbours(plausible(frames)))
 
 
-def nearest_frames(frames: DataFrame) -> DataFrame:
-    return neighbours(plausible(frames), radius=None)
+#: Queries of one block (one broadcast, one pass over the frames), and every how many ids one is a query.
+QUERIES, EVERY = 16_384, 50
+
+
+def nearest_frames(frames: DataFrame, k: int = K, every: int = EVERY, n_atoms: int = 22, queries: int = QUERIES) -> DataFrame:
+    """``frame_id, other, d``: the ``k`` nearest other frames, at any distance, of every frame whose id is divisible by ``every``; ties by smaller id.
+
+    The queries are taken in blocks of ``queries``; each block meets all frames in one pass over their Arrow batches, in which the ladder has no
+    last step: the distance that k frames lie within is the window of what follows. Blocks are exact; their number grows with the frames.
+    Frames that are null, short or faulty are neither queries nor neighbours, the same id twice counts once; an empty table has no rows.
+    """
+    table = materialize(plausible(frames, n_atoms))
+    asked = materialize(table.where(F.col("frame_id") % every == 0).dropDuplicates(["frame_id"]))
+    n = asked.count()
+    blocks = max(1, -(-n // queries))
+    sc = frames.sparkSession.sparkContext
+    parts, shared = [], []
+    for block in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("frame_id"), F.lit(blocks)) == block).orderBy("frame_id").toArrow()
+        ids = some["frame_id"].to_numpy()
+        q = vectors_of(some["vec"].combine_chunks(), n_atoms) if len(ids) else np.empty((0, 3 * n_atoms))
+        shared.append(sc.broadcast((ids, q)))
+
+        def search(batches: Iterable[pa.RecordBatch], shared=shared[-1]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            reach = np.full(len(ids), np.inf)
+            square = (q * q).sum(axis=1)
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                fid = batch.column("frame_id").to_numpy()
+                v = vectors_of(batch.column("vec"), n_atoms)
+                own = (v * v).sum(axis=1)
+                i, j, d = [], [], []
+                for s in range(0, len(ids), 2048):
+                    d2 = square[s : s + 2048, None] + own[None, :] - 2 * (q[s : s + 2048] @ v.T)
+                    limit = reach[s : s + 2048] ** 2
+                    if d2.shape[1] > 3 * k and np.isinf(limit).any():  # room for the query itself and for a frame delivered twice
+                        limit = np.minimum(limit, np.partition(d2, 3 * k, axis=1)[:, 3 * k])
+                    a, b = np.nonzero(d2 <= (limit + 1e-9)[:, None])
+                    a = a + s
+                    other = fid[b] != ids[a]
+                    i.append(a[other])
+                    j.append(b[other])
+                    d.append(np.round(np.sqrt(((q[i[-1]] - v[j[-1]]) ** 2).sum(axis=1)), 10))
+                a, b, d = np.concatenate(i), fid[np.concatenate(j)], np.concatenate(d)
+                best = _best(np.concatenate([best[0], a]), np.concatenate([best[1], b]), np.concatenate([best[2], d]), None, k)
+                count = np.bincount(best[0], minlength=len(ids))
+                last = np.cumsum(count) - 1
+                full = count >= k
+                reach[full] = best[2][last[full]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["frame_id", "other", "d"])
+
+        parts.append(table.mapInArrow(search, "frame_id long, other long, d double"))
+    got = parts[0]
+    for p in parts[1:]:
+        got = got.unionByName(p)
+    top = got.groupBy("frame_id").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "other"))), 1, k).alias("_n"))
+    out = materialize(top.select("frame_id", F.explode("_n").alias("_x")).select("frame_id", F.col("_x.other").alias("other"), F.col("_x.d").alias("d")))
+    for b in shared:
+        b.destroy()
+    return out
+
+
+def vectors_of(column: pa.Array, n_atoms: int) -> np.ndarray:
+    return sp.vectors(framecodec.unpack(column, n_atoms))

@@ -48,18 +48,19 @@ def brute(x):
     return d, [root(a) for a in range(len(x))]
 
 
-@pytest.mark.parametrize("part", [200, 100_000])
-def test_clusters_equal_brute_force(spark, monkeypatch, part):
+@pytest.mark.parametrize(("part", "overlap"), [(200, sp.OVERLAP), (200, None), (100_000, sp.OVERLAP)])
+def test_clusters_equal_brute_force(spark, monkeypatch, part, overlap):
     monkeypatch.setattr(sp, "CELL", 40)
+    monkeypatch.setattr(clusters, "TILE", 32)
     x = conformations(500, 60)
     _, root = brute(x)
-    got = {(r.frame_id, r.cluster) for r in clusters.cluster_frames(packed(spark, x), part=part).collect()}
+    got = {(r.frame_id, r.cluster) for r in clusters.cluster_frames(packed(spark, x), part=part, overlap=overlap).collect()}
     sizes = np.bincount(root)
     assert got == {(i, r) for i, r in enumerate(root) if sizes[r] > 1}
 
 
-@pytest.mark.parametrize("part", [200, 100_000])
-def test_links_near_the_radius(spark, monkeypatch, part):
+@pytest.mark.parametrize(("part", "overlap", "lost"), [(200, sp.OVERLAP, 10), (200, None, 0), (100_000, sp.OVERLAP, 10)])
+def test_links_near_the_radius(spark, monkeypatch, part, overlap, lost):
     monkeypatch.setattr(sp, "CELL", 40)
     rng = np.random.default_rng(8)
     x = conformations(500, 0, 7)
@@ -69,8 +70,9 @@ def test_links_near_the_radius(spark, monkeypatch, part):
     x = np.concatenate([x, x + way])
     _, root = brute(x)
     sizes = np.bincount(root)
-    got = {(r.frame_id, r.cluster) for r in clusters.cluster_frames(packed(spark, x), part=part).collect()}
-    assert len(got) >= 1000 and got == {(i, r) for i, r in enumerate(root) if sizes[r] > 1}
+    got = {(r.frame_id, r.cluster) for r in clusters.cluster_frames(packed(spark, x), part=part, overlap=overlap).collect()}
+    want = {(i, r) for i, r in enumerate(root) if sizes[r] > 1}
+    assert len(want) >= 1000 and got <= want and len(want - got) <= lost
 
 
 def test_neighbours_recall(spark, monkeypatch):
@@ -86,18 +88,82 @@ def test_neighbours_recall(spark, monkeypatch):
     assert all(r.frame_id_a < r.frame_id_b for r in pairs) and len(pairs) == len({tuple(r) for r in pairs})
 
 
-@pytest.mark.parametrize("part", [200, 100_000])
-def test_every_frame_has_its_nearest(spark, monkeypatch, part):
-    monkeypatch.setattr(neighbours, "TILE", 32)
-    monkeypatch.setattr(neighbours, "WIDE", 64)
+@pytest.mark.parametrize(("every", "queries"), [(1, 100), (7, 10_000)])
+def test_every_query_has_its_nearest(spark, every, queries):
     x = conformations(400, 40, 9)
     x = np.concatenate([x, np.repeat(x[:1], 12, axis=0)])
     d, _ = brute(x)
     np.fill_diagonal(d, 9)
-    want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), np.round(d[i], 10)))[:3]}
-    got = {(r.frame_id, r.other): r.d for r in neighbours.neighbours(packed(spark, x), radius=None, part=part).collect()}
-    assert len(got) == 3 * len(x) and set(got) == want and all(abs(d[p] - q) < 1e-8 for p, q in got.items())
-    assert neighbours.neighbours(packed(spark, x[:0]), radius=None).count() == 0
+    want = {(i, int(j)) for i in range(0, len(x), every) for j in np.lexsort((np.arange(len(x)), np.round(d[i], 10)))[:3]}
+    rows = [(k, 1, k, f.tolist(), 1) for k, f in enumerate(x)]
+    rows += rows[:30]
+    frames = spark.createDataFrame(rows, "frame_id long, traj_id long, frame long, xyz array<array<double>>, loaded_at int")
+    spread_out = neighbours.plausible
+    neighbours.plausible = lambda f, n: packed(spark, x, list(range(len(x)))).union(packed(spark, x[:30]))
+    try:
+        got = {(r.frame_id, r.other): r.d for r in neighbours.nearest_frames(frames, every=every, queries=queries).collect()}
+        assert set(got) == want and all(abs(d[p] - q) < 1e-8 for p, q in got.items())
+    finally:
+        neighbours.plausible = spread_out
+    assert neighbours.nearest_frames(frames.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [10_000_000, 234_000_000, 2_000_000_000])
+def test_parts_grow_with_the_frames(n):
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(30_000, 66)) * 0.03
+    axes = sp.random_axes(66, sp.DIMS)
+    space = sp.fit(v @ axes, np.zeros(66), n, RADIUS, overlap=1.0)
+    row, part = space.route(v)
+    assert set(row.tolist()) == set(range(len(v))) and part.min() >= 0 and part.max() < space.parts
+    size = np.bincount(part, minlength=space.parts) * (n / len(v))
+    assert size.mean() <= 1.1 * sp.PART  # of a part the mean; the sample is too small to tell single parts apart beyond some hundred
+    few = sp.fit(v @ axes, np.zeros(66), 10_000_000, RADIUS, overlap=1.0)
+    assert np.bincount(few.route(v)[1]).max() * (10_000_000 / len(v)) <= 2 * sp.PART
+
+
+def test_routed_pairs_meet():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(20_000, 66)) * 0.03
+    way = rng.normal(size=v.shape)
+    w = v + way / np.linalg.norm(way, axis=1)[:, None] * 0.02
+    space = sp.fit(v @ sp.random_axes(66, sp.DIMS), np.zeros(66), 3_000_000, RADIUS)
+    both = [set((row * space.parts + part).tolist()) for row, part in (space.route(v), space.route(w))]
+    met = {c // space.parts for c in both[0] & both[1]}
+    assert len(met) >= len(v) - 2
+
+
+def test_dense_cluster_in_one_cell():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(9000, 66)) * 0.0008
+    space = sp.fit(v @ sp.random_axes(66, sp.DIMS), np.zeros(66), len(v), RADIUS)
+    assert len(set(clusters.near_components(v, space).tolist())) == 1
+
+
+def test_blocks_are_exact():
+    rng = np.random.default_rng(5)
+    for scale in (40, 4000, 40_000_000):
+        ticks = np.rint(rng.normal(size=(50, 66)) * scale).astype(np.int64) + 7
+        base = np.rint(rng.normal(size=66) * 300).astype(np.int64)
+        ids, back = sp.expand(sp.squeeze(np.arange(50), ticks, base), base)
+        assert (ids == np.arange(50)).all() and (back == ticks).all()
+
+
+def test_collisions_are_counted():
+    rng = np.random.default_rng(6)
+    ticks = rng.integers(-40, 40, (300, 15)).astype(np.int32)
+    index = neighbours.Lines(ticks)
+    asked = ticks[:70] + rng.integers(-3, 3, (70, 15)).astype(np.int32)
+    for width, need in ((10, 4), (16, 7), (30, 12), (90, 15)):
+        i, j = index.colliding(asked, width, need)
+        want = (np.abs(asked[:, None] - ticks[None]) <= width).sum(axis=2) >= need
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(want)), strict=True))
+
+
+def test_pairs_of_a_large_cluster(spark):
+    members = spark.createDataFrame([(k, k // 40) for k in range(100)], "frame_id long, cluster long")
+    want = {(a, b) for a in range(100) for b in range(a + 1, 100) if a // 40 == b // 40}
+    assert sorted(map(tuple, clusters.cluster_pairs(members, 7).collect())) == sorted(want)
 
 
 def test_exact_copies_of_a_third(spark):
