@@ -6,16 +6,39 @@ import numpy as np
 
 
 def components(adjacency: np.ndarray) -> np.ndarray:
-    """Label of each node's strongly connected component: nodes that reach each other, labelled in the order of their smallest node."""
+    """Label of each node's strongly connected component: nodes that reach each other, labelled in the order of their smallest node.
+
+    Two depth-first passes, over the edges and over the reversed edges; every edge is followed twice.
+    """
     n = len(adjacency)
-    reach = (adjacency > 0) | np.eye(n, dtype=bool)
-    while True:
-        wider = (reach.astype(np.float32) @ reach.astype(np.float32)) > 0
-        if (wider == reach).all():
-            break
-        reach = wider
-    mutual = reach & reach.T
-    first = mutual.argmax(axis=1)
+    edges = np.asarray(adjacency) > 0
+    onward = [np.flatnonzero(row).tolist() for row in edges]
+    back = [np.flatnonzero(row).tolist() for row in edges.T]
+
+    def visit(start: int, links: list[list[int]], seen: np.ndarray) -> list[int]:
+        seen[start] = True
+        stack, left = [(start, iter(links[start]))], []
+        while stack:
+            node, rest = stack[-1]
+            for other in rest:
+                if not seen[other]:
+                    seen[other] = True
+                    stack.append((other, iter(links[other])))
+                    break
+            else:
+                stack.pop()
+                left.append(node)
+        return left
+
+    seen, order = np.zeros(n, bool), []
+    for k in range(n):
+        if not seen[k]:
+            order += visit(k, onward, seen)
+    seen, first = np.zeros(n, bool), np.zeros(n, int)
+    for k in reversed(order):
+        if not seen[k]:
+            group = visit(k, back, seen)
+            first[group] = min(group)
     return np.unique(first, return_inverse=True)[1]
 
 

@@ -164,21 +164,39 @@ def stochastic_subsample(states: DataFrame, shrink: int, seed: int = 0, buckets:
     return whole.unionByName(last.select(*states.columns))
 
 
+def draws(states: DataFrame, wanted: DataFrame, seed: int = 0, buckets: int = 1024) -> DataFrame:
+    """``wanted`` (``state, draw``) with ``traj_id, frame``: for every draw an independent, uniformly random frame of its state.
+
+    A draw's hash is a place among the state's frames; the frames are placed by hashed bucket, so places are counts of the buckets before plus
+    a rank inside one bucket, and only buckets that hold a drawn place are ranked. States without frames give no row.
+    """
+    rows = states.where("state is not null").withColumn("_s", F.pmod(F.xxhash64("traj_id", "frame", F.lit(seed)), F.lit(buckets)))
+    sizes = rows.groupBy("state", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("state").orderBy("_s")
+    placed = sizes.withColumn("_at", F.sum("_n").over(w) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy("state")))
+    share = F.pmod(F.xxhash64("state", "draw", F.lit(seed), F.lit("draw")), F.lit(1 << 52)) / float(1 << 52)
+    total = sizes.groupBy("state").agg(F.sum("_n").alias("_all"))
+    places = wanted.join(total, "state").withColumn("_p", F.floor(share * F.col("_all")).cast("long")).drop("_all")
+    hit = places.join(placed.drop("_all"), "state").where((F.col("_p") >= F.col("_at")) & (F.col("_p") < F.col("_at") + F.col("_n"))).withColumn("_r", F.col("_p") - F.col("_at"))
+    inside = rows.join(hit.select("state", "_s").distinct(), ["state", "_s"], "left_semi")
+    ranked = inside.withColumn("_r", (F.row_number().over(Window.partitionBy("state", "_s").orderBy("traj_id", "frame")) - 1).cast("long"))
+    return hit.join(ranked, ["state", "_s", "_r"]).select(*wanted.columns, "traj_id", "frame")
+
+
 def sample_per_state(states: DataFrame, n: int, seed: int = 0, replacement: bool = False) -> DataFrame:
-    """``state, draw, traj_id, frame``: ``n`` frames of each state, by hash order.
+    """``state, draw, traj_id, frame``: ``n`` frames of each state.
 
-    Without replacement a state with fewer frames gives all it has; with replacement its frames are gone round again until ``n`` are drawn.
-    Each of 64 hashed parts of a state keeps its first ``n`` before they meet, so no state is ranked in one task.
+    Without replacement the first ``n`` by hash (a state with fewer frames gives all it has): each of 64 hashed parts of a state keeps its
+    first ``n`` before they meet, so no state is ranked in one task. With replacement ``n`` independent ``draws``.
     """
+    if replacement:
+        names = states.where("state is not null").select("state").distinct()
+        return draws(states, names.select("state", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")), seed) if n > 0 else names.selectExpr("state", "0 as draw", "0L as traj_id", "0L as frame").limit(0)
     rank = F.xxhash64("traj_id", "frame", F.lit(seed))
     rows = states.where("state is not null").withColumn("_h", rank).withColumn("_s", F.pmod(F.xxhash64("frame", "traj_id"), F.lit(64)))
     near = rows.withColumn("_r", F.row_number().over(Window.partitionBy("state", "_s").orderBy("_h", "traj_id", "frame"))).where(F.col("_r") <= n)
     ranked = near.withColumn("draw", F.row_number().over(Window.partitionBy("state").orderBy("_h", "traj_id", "frame")) - 1).where(F.col("draw") < n)
-    if not replacement:
-        return ranked.select("state", "draw", "traj_id", "frame")
-    size = F.count(F.lit(1)).over(Window.partitionBy("state"))
-    again = ranked.withColumn("_m", size).withColumn("draw", F.explode(F.sequence(F.col("draw").cast("int"), F.lit(n - 1), F.col("_m").cast("int"))))
-    return again.where(F.col("draw") < n).select("state", "draw", "traj_id", "frame")
+    return ranked.select("state", "draw", "traj_id", "frame")
 
 
 def chunks(lengths: DataFrame, size: int) -> DataFrame:

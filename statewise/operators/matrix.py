@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: States a model may have; more are refused before anything is collected.
@@ -23,11 +24,15 @@ def to_dense(entries: DataFrame, value: str, n: int | None = None) -> np.ndarray
     return out
 
 
-def from_dense(spark: SparkSession, matrix: np.ndarray, value: str, keep_zero: bool = False) -> DataFrame:
+def from_dense(spark: SparkSession, matrix: np.ndarray, value: str, keep_zero: bool = False, names: np.ndarray | None = None) -> DataFrame:
+    """``i, j, value`` of the entries that are not 0 (or all); ``names`` gives the states of the rows, else they are numbered from 0."""
     i, j = np.nonzero(np.ones_like(matrix) if keep_zero else matrix)
-    rows = [(int(a), int(b), float(matrix[a, b])) for a, b in zip(i, j, strict=True)]
-    return spark.createDataFrame(rows, f"i int, j int, {value} double")
+    label = np.arange(len(matrix)) if names is None else np.asarray(names)
+    columns = [pa.array(label[i], pa.int32()), pa.array(label[j], pa.int32()), pa.array(matrix[i, j], pa.float64())]
+    return spark.createDataFrame(pa.table(columns, ["i", "j", value]))
 
 
-def from_vector(spark: SparkSession, vector: np.ndarray, value: str = "v") -> DataFrame:
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(vector)], f"i int, {value} double")
+def from_vector(spark: SparkSession, vector: np.ndarray, value: str = "v", names: np.ndarray | None = None) -> DataFrame:
+    """``i, value`` for every state."""
+    label = np.arange(len(vector)) if names is None else np.asarray(names)
+    return spark.createDataFrame(pa.table([pa.array(label, pa.int32()), pa.array(np.asarray(vector, float), pa.float64())], ["i", value]))

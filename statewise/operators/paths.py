@@ -89,13 +89,37 @@ def fraction_visits(t: np.ndarray, waypoint: int, source: int, sink: int) -> flo
     return via / total if total > 0 else 0.0
 
 
-def hub_score(t: np.ndarray, waypoint: int) -> float:
-    others = [s for s in range(len(t)) if s != waypoint]
-    return float(np.mean([fraction_visits(t, waypoint, a, b) for a in others for b in others if a != b]))
+def hub_fractions(t: np.ndarray, waypoint: int, times: np.ndarray, pi: np.ndarray) -> np.ndarray:
+    """``fraction_visits`` of one waypoint for every (source, sink), NaN where two of the three are one state.
+
+    No system is solved: with the mean passage times m, a state i reaches b before a with probability (m_ia + m_ab - m_ib) / (m_ab + m_ba), and
+    leaves a for b before it returns with probability 1 / (pi_a (m_ab + m_ba)). From these follow, for the path out of a, the chances of
+    meeting the waypoint first and of meeting the sink first.
+    """
+    w, m = waypoint, times
+    round_trip = m + m.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        escape = 1 / (pi[:, None] * round_trip)
+        way_to_sink = (m[w][:, None] + m - m[w][None, :]) / round_trip  # [a, b]: from w to b before a
+        sink_to_way = ((m.T + m[:, w][:, None] - m[:, w][None, :]) / round_trip[:, w][:, None])  # [a, b]: from b to w before a
+        first = (escape[:, w][:, None] - escape * sink_to_way) / (1 - way_to_sink * sink_to_way)
+        share = first * way_to_sink / escape
+    share[w, :] = share[:, w] = np.nan
+    np.fill_diagonal(share, np.nan)
+    return share
+
+
+def hub_score(t: np.ndarray, waypoint: int, times: np.ndarray | None = None, pi: np.ndarray | None = None) -> float:
+    """Mean share of the paths between two other states that pass the waypoint."""
+    pi = linalg.stationary(t) if pi is None else pi
+    return float(np.nanmean(hub_fractions(t, waypoint, all_mfpts(t, pi) if times is None else times, pi)))
 
 
 def hub_scores(t: np.ndarray) -> np.ndarray:
-    return np.array([hub_score(t, w) for w in range(len(t))])
+    """The hub score of every state; the passage times are found once, a waypoint then costs the square of the states."""
+    pi = linalg.stationary(t)
+    times = all_mfpts(t, pi)
+    return np.array([hub_score(t, w, times, pi) for w in range(len(t))])
 
 
 def widest_path(sources, sinks, net: np.ndarray) -> tuple[list[int], float]:
@@ -170,12 +194,24 @@ def natural_coordinate(counts: np.ndarray, coordinate: np.ndarray) -> tuple[np.n
     return order[keep], np.cumsum(zh[keep] / (zc[keep] * np.sqrt(np.pi))), zc[keep]
 
 
-def profile_mfpt(counts: np.ndarray, coordinate: np.ndarray, lag: float = 1.0) -> float:
-    """Passage time from the lowest to the highest coordinate by diffusion along the profile: sum of cumulated zh over zc, in coordinate order."""
-    _, zh, zc = cut_profile(counts, coordinate)
-    below = np.cumsum(zh)
-    keep = zc > 1e-12
-    return float(lag * (below[keep] / zc[keep]).sum())
+def profile_mfpt(counts: np.ndarray, coordinate: np.ndarray, reactant: int, product: int, lag: float = 1.0) -> float:
+    """Passage time from ``reactant`` to ``product`` by diffusion along the profile: lag / pi times the integral over the coordinate x from the
+    reactant's value to the product's of zh(x) / zc(x)^2 times the integral of zh from the reactant's value to x.
+
+    Both integrals are trapezoids between the states in coordinate order. Where no counts cross a state's upper border (as at the
+    highest state) zc is taken from the border below. A product that is not above the reactant gives 0.
+    """
+    order, zh, zc = cut_profile(counts, coordinate)
+    zc = np.where(zc > 1e-12, zc, np.r_[0.0, zc[:-1]])
+    place = np.argsort(order)
+    span = slice(place[reactant], place[product] + 1)
+    x, zh, zc = np.asarray(coordinate, float)[order][span], zh[span], zc[span]
+    if len(x) < 2:
+        return 0.0
+    step = np.diff(x)
+    below = np.r_[0.0, np.cumsum(step * (zh[1:] + zh[:-1]) / 2)]
+    inner = np.divide(zh * below, zc * zc, out=np.zeros(len(x)), where=zc > 1e-12)
+    return float(lag / np.pi * (step * (inner[1:] + inner[:-1]) / 2).sum())
 
 
 def profile_histogram(populations: np.ndarray, coordinate: np.ndarray, bins: int = 15) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +221,7 @@ def profile_histogram(populations: np.ndarray, coordinate: np.ndarray, bins: int
         return edges[:-1], np.where(weight > 0, -np.log(weight), np.nan)
 
 
-def optimize_coordinate(function, start: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
+def optimize_coordinate(function, start: np.ndarray, counts: np.ndarray, reactant: int, product: int, rounds: int = 300) -> np.ndarray:
     """Weights of a user coordinate (weights -> value per state) that make the profile's passage time longest."""
-    best, _ = linalg.simplex(lambda w: -profile_mfpt(counts, function(w)), np.asarray(start, float), rounds)
+    best, _ = linalg.simplex(lambda w: -profile_mfpt(counts, function(w), reactant, product), np.asarray(start, float), rounds)
     return best

@@ -140,14 +140,17 @@ def surface_areas(frames: DataFrame, names: list[str], keys: list[str], points:
     unit = np.stack([np.cos(theta) * np.sin(phi), np.sin(theta) * np.sin(phi), np.cos(phi)], axis=1)
 
     def build(x: np.ndarray) -> np.ndarray:
-        out = np.empty((len(x), n))
-        for m, f in enumerate(x):
-            surface = f[:, None, :] + r[:, None, None] * unit
-            d2 = ((surface[:, :, None, :] - f[None, None, :, :]) ** 2).sum(axis=3)
-            covered = d2 < (r * r)[None, None, :]
-            covered[np.arange(n), :, np.arange(n)] = False
-            out[m] = (~covered.any(axis=2)).mean(axis=1) * 4 * np.pi * r * r
-        return out
+        free = np.empty((len(x), n))
+        some = max(1, 4_000_000 // (points * n * n))
+        for s in range(0, len(x), some):
+            f = x[s : s + some]
+            for a in range(n):  # a point of a's sphere is covered where it lies within another atom's sphere
+                others = np.arange(n) != a
+                apart = f[:, others] - f[:, [a]]
+                reach = (apart * apart).sum(axis=2) + r[a] * r[a] - (r * r)[others]
+                covered = 2 * r[a] * np.einsum("mbk,pk->mpb", apart, unit) > reach[:, None, :]
+                free[s : s + some, a] = (~covered.any(axis=2)).mean(axis=1)
+        return free * 4 * np.pi * r * r
 
     return _per_frame(frames, keys, n, "area", build)
 
