@@ -18,7 +18,7 @@ RADIUS = 0.025
 
 
 #: Rows of a tile of the comparison, and links gathered before they are merged.
-TILE, LINKS = 512, 500_000
+TILE, LINKS = 1024, 500_000
 
 
 class Merged:
@@ -38,6 +38,10 @@ class Merged:
             if self._held > LINKS:
                 self.settle()
 
+    def settled(self, least: int) -> np.ndarray:
+        """The labels, after merging what is open if that is at least ``least`` links."""
+        return self.settle() if self._held >= least else self.label
+
     def settle(self) -> np.ndarray:
         if self._open:
             i, j = (np.concatenate(x) for x in zip(*self._open, strict=True))
@@ -58,21 +62,23 @@ def link_tiles(v: np.ndarray, z: np.ndarray, at: np.ndarray, far: np.ndarray, ra
     """
     part = z[at].astype(np.float64)
     half = (part**2).sum(axis=1) / 2
-    one = np.ones((len(at), 1), np.float32)
+    unit = np.ones((len(at), 1), np.float32)
     minus = (-half[:, None]).astype(np.float32)
-    left, right = np.hstack([z[at], minus, one]), np.ascontiguousarray(np.hstack([z[at], one, minus]).T)
+    left, right = np.hstack([z[at], minus, unit]), np.ascontiguousarray(np.hstack([z[at], unit, minus]).T)
+    one = (0, 1)
     for s in range(0, len(at), TILE):
         e = min(s + TILE, len(at))
+        if s:  # what the first tiles have linked
+            one = merged.settled(len(at))[at[s:e]]
+            one = one.min(), one.max()
         for t in range(s, len(at), TILE):
             f = min(t + TILE, len(at))
             if far[at[t]] - far[at[e - 1]] > radius * (1 + 1e-6) + 1e-9:
                 break
             if skip is not None and skip(s, e, t, f):
                 continue
-            if len(at) > 4 * TILE:
-                own = merged.settle()[at[s:e]]
-                if (own == own[0]).all() and (merged.label[at[t:f]] == own[0]).all():
-                    continue
+            if s and one[0] == one[1] and (merged.label[at[t:f]] == one[0]).all():
+                continue
             room = 1e-7 + 8e-6 * float(half[s:e].max() + half[t:f].max())
             hit = np.flatnonzero(left[s:e] @ right[:, t:f] >= np.float32(-radius * radius / 2 - room))
             if not len(hit):
@@ -125,15 +131,16 @@ def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def local_clusters(table: DataFrame, space: sp.Space | sp.Bands, n_atoms: int) -> DataFrame:
+def local_clusters(table: DataFrame, space: sp.Forest | sp.Bands, n_atoms: int) -> DataFrame:
     """``frame_id, label``: for each part, the frames of its clusters of two or more with the smallest id of the cluster."""
-    pairs = dict(zip(sp.part_keys(table.sparkSession, space.parts), space.pairs, strict=True)) if isinstance(space, sp.Bands) else None
+    part_of = {key: part for part, key in enumerate(sp.part_keys(table.sparkSession, space.parts))}
 
     def cluster(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sp.gathered(batches, n_atoms, space)
         if got is not None:
             key, fid, v, extra, rep = got
-            lab = near_components(v, space) if pairs is None else band_components(v, space, pairs[key])
+            part = part_of[key]
+            lab = band_components(v, space, space.pairs[part]) if isinstance(space, sp.Bands) else near_components(v, space.tree_of(part))
             size = np.bincount(lab, minlength=len(fid))
             some = size[lab] > 1
             ids, lab = np.concatenate([fid[some], extra]), np.concatenate([fid[lab[some]], rep])
@@ -174,21 +181,22 @@ def components(edges: DataFrame, one_task: int = 2_000_000) -> DataFrame:
             return roots
 
 
-def cluster_frames(table: DataFrame, n_atoms: int = 22, radius: float = RADIUS, part: int = sp.PART, overlap: float | None = sp.OVERLAP) -> DataFrame:
+def cluster_frames(table: DataFrame, n_atoms: int = 22, radius: float = RADIUS, part: int = sp.PART, overlap: float | None = sp.OVERLAP, trees: int = 2) -> DataFrame:
     """``frame_id, cluster`` of every frame that another frame lies within ``radius`` of; ``cluster`` is the smallest id of its cluster.
 
     Density clustering (a frame with a neighbour is a core point) over parts of the reduced vectors that overlap by ``overlap`` standard
-    deviations of one coordinate of a difference of the radius; local clusters that share a frame are merged. A link at the full radius
-    is parted by a cut with a chance of about 1e-4 (README), a shorter one far less. With ``overlap=None`` no link can be lost: frames
-    are dealt into bands by their distance from an origin and every two bands that the radius can span are compared in full, at a cost that
-    grows with the square of the frames. ``table`` has ``frame_id, vec`` (packed frames); the same id twice counts once, exact copies are one
-    point of the search and all members of its cluster. An empty table gives no rows.
+    deviations of one coordinate of a difference of the radius; local clusters that share a frame are merged. ``trees`` independent divisions
+    are made, and a link is found unless each of them parts it: the chance is about 1e-4 for a link of the full radius and falls steeply
+    below it (README). With ``overlap=None`` no link can be lost: frames are dealt into bands by their distance from an origin and
+    every two bands that the radius can span are compared in full, at a cost that grows with the square of the frames. ``table`` has
+    ``frame_id, vec`` (packed frames); the same id twice counts once, exact copies are one point of the search and all members of its
+    cluster. An empty table gives no rows.
     """
     n = table.count()
     if overlap is None:
-        space: sp.Space | sp.Bands = sp.bands(sp.sample_vectors(table, n, n_atoms), n, radius, part)
+        space: sp.Forest | sp.Bands = sp.bands(sp.sample_vectors(table, n, n_atoms), n, radius, part)
     else:
-        space = sp.space_of(table, n, n_atoms, radius, part, overlap)
+        space = sp.space_of(table, n, n_atoms, radius, part, overlap, trees)
     local = materialize(local_clusters(table, space, n_atoms))
     member = local.groupBy("frame_id").agg(F.min("label").alias("label"), F.max("label").alias("_top"), F.collect_set("label").alias("_all"))
     member = materialize(member.select("frame_id", "label", F.when(F.col("_top") != F.col("label"), F.col("_all")).alias("_all")))

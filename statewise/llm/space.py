@@ -18,14 +18,16 @@ SAMPLE, LEAF, MOST_SAMPLE = 20_000, 128, 1_000_000
 #: Reduced dimensions kept for cutting, vectors aimed at per shuffled part (overlap included), and per cell inside a part.
 DIMS, PART, CELL = 16, 160_000, 4096
 #: Overlap of two neighbouring parts or cells, in standard deviations of one coordinate of a difference of length ``radius``.
-OVERLAP = 3.0
+OVERLAP = 2.0
 #: Axes on which pairs of vectors are compared before their full distance is.
-FILTER = 24
+FILTER = 20
+#: Seed of the axes of the first tree; the next tree has the next seed.
+SEED = 23
 #: Vectors gathered before they are sent on in one block per part.
 FLUSH = 65_536
 
 
-def random_axes(width: int, count: int, seed: int = 23) -> np.ndarray:
+def random_axes(width: int, count: int, seed: int = SEED) -> np.ndarray:
     """``count`` orthonormal random directions (fewer if the vectors have fewer coordinates)."""
     return np.linalg.qr(np.random.default_rng(seed).normal(size=(width, min(count, width))))[0]
 
@@ -64,6 +66,36 @@ class Space:
         return row, node - (self.parts - 1)
 
 
+@dataclass
+class Forest:
+    """Several Spaces with axes of their own: every vector goes to parts of each, so a pair is parted only if every tree parts it."""
+
+    trees: list[Space]
+
+    @property
+    def origin(self) -> np.ndarray:
+        return self.trees[0].origin
+
+    @property
+    def parts(self) -> int:
+        return sum(t.parts for t in self.trees)
+
+    def tree_of(self, part: int) -> Space:
+        for t in self.trees:
+            if part < t.parts:
+                return t
+            part -= t.parts
+        raise ValueError(part)
+
+    def route(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        routed, first = [], 0
+        for t in self.trees:
+            row, part = t.route(v)
+            routed.append((row, part + first))
+            first += t.parts
+        return np.concatenate([r for r, _ in routed]), np.concatenate([p for _, p in routed])
+
+
 @dataclass
 class Bands:
     """Bands of distance from an origin (``edges`` between them) and the pairs of bands in which two vectors within ``radius`` can lie:
@@ -125,9 +157,9 @@ def _cut(z: np.ndarray, overlap: float) -> tuple[int, float]:
     return axis, float(middle[axis])
 
 
-def fit(z: np.ndarray, origin: np.ndarray, n: int, radius: float, part: int = PART, overlap: float = OVERLAP) -> Space:
+def fit(z: np.ndarray, origin: np.ndarray, n: int, radius: float, part: int = PART, overlap: float = OVERLAP, seed: int = SEED) -> Space:
     """Cuts for ``n`` vectors in parts of about ``part`` (copies in overlaps included), at medians of the reduced sample ``z`` (taken from
-    ``origin`` along ``random_axes``).
+    ``origin`` along the ``random_axes`` of ``seed``).
 
     The axes are a seeded random orthonormal set, not principal axes: whatever direction two vectors differ in, its share along a random
     axis is as likely as any other's, so a difference of length ``radius`` exceeds the overlap (OVERLAP standard deviations of one
@@ -137,7 +169,7 @@ def fit(z: np.ndarray, origin: np.ndarray, n: int, radius: float, part: int = PA
     """
     width = len(origin)
     apart = overlap_of(width, radius, overlap)
-    axes = random_axes(width, DIMS)
+    axes = random_axes(width, DIMS, seed)
     if not len(z):
         z = np.zeros((1, axes.shape[1]))
     axis, value, leaves, depth = [], [], [np.arange(len(z))], 0
@@ -207,9 +239,9 @@ def sample_vectors(table: DataFrame, n: int, n_atoms: int) -> np.ndarray:
     return vectors(framecodec.unpack(rows["vec"].combine_chunks(), n_atoms)) if rows.num_rows else np.zeros((0, 3 * n_atoms))
 
 
-def reduced_sample(table: DataFrame, n: int, n_atoms: int, origin: np.ndarray, most: int) -> np.ndarray:
+def reduced_sample(table: DataFrame, n: int, n_atoms: int, origin: np.ndarray, most: int, seed: int = SEED) -> np.ndarray:
     """The reduced vectors of a hashed share of ``most`` of ``n`` frames, projected where they lie; single precision."""
-    axes = random_axes(3 * n_atoms, DIMS)
+    axes = random_axes(3 * n_atoms, DIMS, seed)
 
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,14 +253,16 @@ def reduced_sample(table: DataFrame, n: int, n_atoms: int, origin: np.ndarray, m
     return np.frombuffer(b"".join(got), "<f4").reshape(-1, axes.shape[1]).astype(np.float64)
 
 
-def space_of(table: DataFrame, n: int, n_atoms: int, radius: float, part: int = PART, overlap: float = OVERLAP) -> Space:
-    """The Space of ``n`` packed frames; the sample grows with the parts (LEAF a part) up to MOST_SAMPLE."""
-    origin = np.median(first, axis=0) if len(first := sample_vectors(table, n, n_atoms)) else np.zeros(3 * n_atoms)
-    z = (first - origin) @ random_axes(3 * n_atoms, DIMS)
+def space_of(table: DataFrame, n: int, n_atoms: int, radius: float, part: int = PART, overlap: float = OVERLAP, trees: int = 1) -> Forest:
+    """The Forest of ``n`` packed frames; the sample grows with the parts (LEAF a part) up to MOST_SAMPLE."""
+    first = sample_vectors(table, n, n_atoms)
+    origin = np.median(first, axis=0) if len(first) else np.zeros(3 * n_atoms)
     most = min(MOST_SAMPLE, LEAF * 4 * -(-n // part))
-    if most > 2 * SAMPLE:
-        z = reduced_sample(table, n, n_atoms, origin, most)
-    return fit(z, origin, n, radius, part, overlap)
+    grown = []
+    for seed in range(SEED, SEED + trees):
+        z = reduced_sample(table, n, n_atoms, origin, most, seed) if most > 2 * SAMPLE else (first - origin) @ random_axes(3 * n_atoms, DIMS, seed)
+        grown.append(fit(z, origin, n, radius, part, overlap, seed))
+    return Forest(grown)
 
 
 # Blocks: many frames of one part in one row. Ticks are taken from a base structure and from each frame's own shift, and stored as the planes of
@@ -262,7 +296,7 @@ def expand(block: bytes, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, (off.reshape(n, -1, 3) + shift[:, None]).reshape(n, width) + base
 
 
-def base_of(space: Space | Bands, n_atoms: int) -> np.ndarray:
+def base_of(space: Forest | Bands, n_atoms: int) -> np.ndarray:
     return np.rint(space.origin * np.sqrt(n_atoms) * framecodec.SCALE).astype(np.int64)
 
 
@@ -270,7 +304,7 @@ def base_of(space: Space | Bands, n_atoms: int) -> np.ndarray:
 FRAMES, DOUBLES, COPIES = 0, 1, 2
 
 
-def spread(table: DataFrame, space: Space | Bands, n_atoms: int, copies: int) -> DataFrame:
+def spread(table: DataFrame, space: Forest | Bands, n_atoms: int, copies: int) -> DataFrame:
     """``part, kind, block``: packed frames of ``table`` (``frame_id, vec``) shuffled in blocks to the parts of ``space``.
 
     Of exact copies among the frames gathered for a block only the ``copies`` smallest ids travel as vectors; of each further copy only the
@@ -336,7 +370,7 @@ def spread(table: DataFrame, space: Space | Bands, n_atoms: int, copies: int) ->
     return table.select("frame_id", "vec").mapInArrow(mapped, "part int, kind int, block binary").repartition(parts, "part")
 
 
-def gathered(batches: Iterable[pa.RecordBatch], n_atoms: int, space: Space | Bands) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+def gathered(batches: Iterable[pa.RecordBatch], n_atoms: int, space: Forest | Bands) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """Of one shuffled part: its key, ids, vectors (from the origin, each id once, in id order), and the surplus copies as ids and reps."""
     base, width = base_of(space, n_atoms), 3 * n_atoms
     key = None
@@ -373,4 +407,4 @@ def gathered(batches: Iterable[pa.RecordBatch], n_atoms: int, space: Space | Ban
     return key, fid, v, np.concatenate(extra), np.concatenate(reps)
 
 
-__all__ = ["CELL", "DIMS", "FILTER", "OVERLAP", "PART", "SAMPLE", "Bands", "Space", "bands", "cells", "expand", "fit", "gathered", "groups", "overlap_of", "part_keys", "random_axes", "reduced_sample", "sample_vectors", "space_of", "spread", "squeeze", "vectors"]
+__all__ = ["CELL", "DIMS", "FILTER", "OVERLAP", "PART", "SAMPLE", "Bands", "Forest", "Space", "bands", "cells", "expand", "fit", "gathered", "groups", "overlap_of", "part_keys", "random_axes", "reduced_sample", "sample_vectors", "space_of", "spread", "squeeze", "vectors"]

@@ -127,7 +127,7 @@ def test_routed_pairs_meet():
     v = rng.normal(size=(20_000, 66)) * 0.03
     way = rng.normal(size=v.shape)
     w = v + way / np.linalg.norm(way, axis=1)[:, None] * 0.02
-    space = sp.fit(v @ sp.random_axes(66, sp.DIMS), np.zeros(66), 3_000_000, RADIUS)
+    space = sp.Forest([sp.fit(v @ sp.random_axes(66, sp.DIMS, seed), np.zeros(66), 3_000_000, RADIUS, seed=seed) for seed in (23, 24)])
     both = [set((row * space.parts + part).tolist()) for row, part in (space.route(v), space.route(w))]
     met = {c // space.parts for c in both[0] & both[1]}
     assert len(met) >= len(v) - 2
