@@ -16,7 +16,7 @@ from statewise.session import materialize, sized
 
 RADIUS, K = 0.025, 3
 #: Overlap of parts and cells (see ``space.OVERLAP``).
-OVERLAP = 2.0
+OVERLAP = 1.8
 #: Lines of the index (at most 15), and how many of them a candidate may fail to collide on.
 LINES, MISS = 15, 3
 #: Half width of a window at the full radius, in standard deviations of one coordinate of a difference of that length.
@@ -58,9 +58,12 @@ class Lines:
 
     def window(self, k: int, at: np.ndarray, width: int) -> np.ndarray:
         """Bit rows: for each projection in ``at`` the rows whose projection on line ``k`` lies within ``width`` steps of it."""
-        at = at - self.low
-        inside = np.take(self.before[k], np.clip(at + (width + 1), 0, self.top), axis=0)
-        inside ^= np.take(self.before[k], np.clip(at - width, 0, self.top), axis=0)
+        high, low = at + (width + 1 - self.low), at - (width + self.low)
+        for place in (high, low):
+            np.maximum(place, 0, out=place)
+            np.minimum(place, self.top, out=place)
+        inside = np.take(self.before[k], high, axis=0)
+        inside ^= np.take(self.before[k], low, axis=0)
         return inside
 
     def colliding(self, ticks: np.ndarray, width: int, need: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,27 +91,49 @@ class Lines:
             else:
                 above = above | (equal & bits)
                 equal = equal & ~bits
-        held_bits = above | equal
-        q, w = np.nonzero(held_bits)
-        at, bit = np.nonzero(np.unpackbits(held_bits[q, w].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        row = w[at] * 64 + bit
+        held_bits = (above | equal).ravel()
+        word = np.flatnonzero(held_bits)
+        at, bit = np.divmod(np.flatnonzero(np.unpackbits(held_bits[word].view(np.uint8), bitorder="little")), 64)
+        q, w = np.divmod(word[at], zero.shape[1])
+        row = w * 64 + bit
         real = row < self.rows
-        return q[at[real]], row[real]
-
-
-def _best(q: np.ndarray, r: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Of (query, neighbour, distance) the k nearest of each query, nearest first, ties by id, each neighbour once."""
-    order = np.lexsort((r if ids is None else ids[r], d, q))
-    q, r, d = q[order], r[order], d[order]
-    fresh = np.r_[True, (q[1:] != q[:-1]) | (r[1:] != r[:-1])][: len(q)]
-    q, r, d = q[fresh], r[fresh], d[fresh]
+        return q[real], row[real]
+
+
+#: Distances are compared in steps of this size.
+GRAIN = 1e-10
+
+
+def _best(q: np.ndarray, r: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of (query, neighbour, distance) the k nearest of each query, nearest first, ties by the smaller neighbour, each neighbour once."""
+    grains = np.rint(d / GRAIN).astype(np.int64)
+    rows = int(max(q.max(), r.max())).bit_length() if len(q) else 0
+    far = int(grains.max()).bit_length() if len(q) else 0
+    if 2 * rows + far <= 63:  # all three in one integer
+        code = np.sort((q.astype(np.int64) << (far + rows)) | (grains << rows) | r.astype(np.int64))
+        code = code[np.r_[True, code[1:] != code[:-1]][: len(code)]]
+        q, r, grains = code >> (far + rows), code & ((1 << rows) - 1), (code >> rows) & ((1 << far) - 1)
+    else:
+        order = np.lexsort((r, grains, q))
+        q, r, grains = q[order], r[order], grains[order]
+        fresh = np.r_[True, (q[1:] != q[:-1]) | (r[1:] != r[:-1])][: len(q)]
+        q, r, grains = q[fresh], r[fresh], grains[fresh]
     start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
     top = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) < k
-    return q[top], r[top], d[top]
+    return q[top], r[top], np.round(grains[top] * GRAIN, 10)
 
 
-def nearest(v: np.ndarray, ids: np.ndarray, cut: np.ndarray, h: np.ndarray, overlap: float, radius: float, k: int) -> tuple[np.ndarray, ...]:
-    """(query row, neighbour row, distance) of up to ``k`` verified neighbours within ``radius`` of every row, nearest first, ties by id.
+def apart(v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, in pieces."""
+    out = np.empty(len(i))
+    for s in range(0, len(i), 8192):
+        d = v[i[s : s + 8192]] - v[j[s : s + 8192]]
+        out[s : s + 8192] = np.sqrt(np.einsum("ij,ij->i", d, d))
+    return out
+
+
+def nearest(v: np.ndarray, cut: np.ndarray, h: np.ndarray, overlap: float, radius: float, k: int) -> tuple[np.ndarray, ...]:
+    """(query row, neighbour row, distance) of up to ``k`` verified neighbours within ``radius`` of every row, nearest first, ties by the smaller row.
 
     Virtual rehashing in every cell: the rows that collide with a query in the narrowest windows are verified first; a query with k neighbours
     within that step's share of the radius is done, the windows of the others are widened (as is the window of distances from the origin). Candidates are verified block by block,
@@ -126,7 +151,7 @@ def nearest(v: np.ndarray, ids: np.ndarray, cut: np.ndarray, h: np.ndarray, over
     def merge() -> None:
         nonlocal best
         i, j, d = (np.concatenate(x) for x in zip(*fresh, strict=True))
-        best = _best(np.concatenate([best[0], i, j]), np.concatenate([best[1], j, i]), np.concatenate([best[2], d, d]), ids, k)
+        best = _best(np.concatenate([best[0], i, j]), np.concatenate([best[1], j, i]), np.concatenate([best[2], d, d]), k)
         fresh.clear()
 
     for at in sp.cells(cut, overlap):
@@ -148,13 +173,11 @@ def nearest(v: np.ndarray, ids: np.ndarray, cut: np.ndarray, h: np.ndarray, over
                     once = (i < j) | (done[j] & (i > j))  # two open rows ask each other: one of them is enough
                     i, j = i[once], j[once]
                     p, q = at[i], at[j]
-                    d2 = np.concatenate([((v[p[s : s + 16384]] - v[q[s : s + 16384]]) ** 2).sum(axis=1) for s in range(0, len(p), 16384)] or [np.empty(0)])
-                    good = d2 <= (radius * (1 + 1e-9)) ** 2
-                    d = np.round(np.sqrt(d2[good]), 10)
-                    fresh.append((p[good], q[good], d))
+                    d = apart(v, p, q)
+                    good = d <= radius * (1 + 1e-9)
+                    fresh.append((p[good], q[good], d[good]))
                     close = d <= share * radius
-                    np.add.at(near, i[good][close], 1)
-                    np.add.at(near, j[good][close], 1)
+                    near += np.bincount(np.concatenate([i[close], j[close]]), minlength=len(at))
             done |= near >= k
         if sum(len(d) for *_, d in fresh) > 1_000_000:
             merge()
@@ -186,22 +209,27 @@ def thin_copies(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.setdiff1d(np.arange(len(ids)), further), further, first
 
 
-def local_neighbours(table: DataFrame, space: sp.Space, n_atoms: int, radius: float, k: int) -> DataFrame:
+def lines_of(width: int) -> np.ndarray:
+    """LINES orthonormal random directions, other than those of the cuts."""
+    return sp.random_axes(width, LINES, 41)
+
+
+def local_neighbours(table: DataFrame, space: sp.Forest, n_atoms: int, radius: float, k: int) -> DataFrame:
     """``frame_id, other, d``: up to k neighbours of each frame in each part; ``d`` null where ``other`` is the representative of a further copy."""
-    axes = sp.random_axes(3 * n_atoms, sp.DIMS + LINES)
-    directions = axes[:, sp.DIMS :] if axes.shape[1] > sp.DIMS else axes[:, :LINES]
+    part_of = {key: part for part, key in enumerate(sp.part_keys(table.sparkSession, space.parts))}
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sp.gathered(batches, n_atoms, space)
         if got is None:
             return
-        _, fid, v, extra, rep = got
+        key, fid, v, extra, rep = got
+        tree = space.tree_of(part_of[key])
         rows, more, first = thin_copies(fid, v, k)
         more, first, ids = fid[more], fid[first], fid[rows]
         for c in range(0, len(rows), 8192):  # in place: the rows are in order
             v[c : c + len(rows[c : c + 8192])] = v[rows[c : c + 8192]]
         w = v[: len(rows)]
-        q, r, d = nearest(w, ids, (w @ space.axes).astype(np.float32), (w @ directions).astype(np.float32), space.overlap, radius, k)
+        q, r, d = nearest(w, (w @ tree.axes).astype(np.float32), (w @ lines_of(w.shape[1])).astype(np.float32), tree.overlap, radius, k)
         a, b = np.concatenate([ids[q], extra, more]), np.concatenate([ids[r], rep, first])
         d = pa.array(np.concatenate([d, np.full(len(a) - len(d), np.nan)]), from_pandas=True)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), d], ["frame_id", "other", "d"])
@@ -288,7 +316,7 @@ def nearest_frames(frames: DataFrame, k: int = K, every: int = EVERY, n_atoms: i
                     j.append(b[other])
                     d.append(np.round(np.sqrt(((q[i[-1]] - v[j[-1]]) ** 2).sum(axis=1)), 10))
                 a, b, d = np.concatenate(i), fid[np.concatenate(j)], np.concatenate(d)
-                best = _best(np.concatenate([best[0], a]), np.concatenate([best[1], b]), np.concatenate([best[2], d]), None, k)
+                best = _best(np.concatenate([best[0], a]), np.concatenate([best[1], b]), np.concatenate([best[2], d]), k)
                 count = np.bincount(best[0], minlength=len(ids))
                 last = np.cumsum(count) - 1
                 full = count >= k
