@@ -60,6 +60,11 @@ def sqmahalanobis(inverse: list[list[float]]) -> Callable[[Column, Column], Colu
     return distance
 
 
+def mahalanobis(inverse: list[list[float]]) -> Callable[[Column, Column], Column]:
+    squared = sqmahalanobis(inverse)
+    return lambda a, b: F.sqrt(squared(a, b))
+
+
 #: Distances of two numeric arrays, and of two boolean arrays (counts of true/true, true/false, false/true, false/false, and the length).
 NUMERIC: dict[str, Callable[[Column, Column], Column]] = {
     "euclidean": lambda a, b: F.sqrt(pairwise(a, b, lambda x, y: (x - y) * (x - y))),

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from statewise.functions import pairwise
 from statewise.functions import vectors as v
 from statewise.operators import clustering, counting, neighbors, tica
 from statewise.plans.registry import query, table
@@ -62,6 +63,9 @@ INVERSE = [[1.0 if i == j else 0.5 if abs(i - j) == 1 else 0.0 for j in range(64
 query("metric_sqmahalanobis", PAIRS + " SELECT l.a AS id, round(sum((l.x - l.y) * (r.x - r.y) * CASE WHEN l.k = r.k THEN 1 ELSE 0.5 END), 6) AS dist FROM p l JOIN p r ON l.a = r.a AND abs(l.k - r.k) <= 1 GROUP BY l.a")(
     lambda s, d: next_pairs(s, d).select("id", F.round(v.sqmahalanobis(INVERSE)(F.col("features"), F.col("other")), 6).alias("dist"))
 )
+query("metric_mahalanobis", PAIRS + " SELECT l.a AS id, round(sqrt(sum((l.x - l.y) * (r.x - r.y) * CASE WHEN l.k = r.k THEN 1 ELSE 0.5 END)), 6) AS dist FROM p l JOIN p r ON l.a = r.a AND abs(l.k - r.k) <= 1 GROUP BY l.a")(
+    lambda s, d: next_pairs(s, d).select("id", F.round(v.mahalanobis(INVERSE)(F.col("features"), F.col("other")), 6).alias("dist"))
+)
 
 
 def both(s, d):
@@ -88,16 +92,16 @@ def one_to_all(s, d):
     return e.crossJoin(one).select("id", F.round(v.metric("euclidean")(F.col("features"), F.col("other")), 6).alias("dist"))
 
 
-@query("pairwise_condensed", ROWS + " SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 6) AS dist FROM e a JOIN e b ON a.vec_id < b.vec_id AND a.k = b.k AND a.label = b.label AND a.label = 3 GROUP BY 1, 2")
+@query("pairwise_condensed", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
 def pairwise_condensed(s, d):
-    return neighbors.all_pairs(embedded(s, d).where("label = 3"), "id", v.metric("euclidean")).select("a", "b", F.round("dist", 6).alias("dist"))
+    e = embedded(s, d)
+    return neighbors.all_pairs(e, "id", v.metric("euclidean"), blocks=max(8, -(-e.count() // 500))).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
-@query("pairwise_all")
-def pairwise_all(s, d):
-    """The condensed distances of all vectors; ``pairwise_condensed`` has those of one label, for its SQL."""
+@query("pairwise_cityblock", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: abs(z[1] - z[2]))), 6) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
+def pairwise_cityblock(s, d):
     e = embedded(s, d)
-    return neighbors.all_pairs(e, "id", v.metric("euclidean"), blocks=max(8, -(-e.count() // 500))).select("a", "b", F.round("dist", 6).alias("dist"))
+    return neighbors.all_pairs(e, "id", "cityblock", blocks=max(8, -(-e.count() // 500))).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
 ASSIGN = ROWS + ", g AS (SELECT a.vec_id AS id, b.vec_id AS gid, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM e a JOIN e b ON b.vec_id < 20 AND a.k = b.k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, gid) AS r FROM g)"
@@ -110,16 +114,34 @@ def assigned(s, d):
 
 query("assign_nearest", ASSIGN + " SELECT id, gid AS state, round(d, 6) AS dist FROM r WHERE r = 1")(lambda s, d: assigned(s, d).select("id", "state", F.round("dist", 6).alias("dist")))
 query("cluster_radii", ASSIGN + " SELECT gid AS state, round(avg(d), 6) AS radius FROM r WHERE r = 1 GROUP BY 1")(lambda s, d: counting.cluster_radii(assigned(s, d)).select("state", F.round("radius", 6).alias("radius")))
-query("trim_by_distance", ASSIGN + " SELECT id, CASE WHEN d <= 10 THEN gid END AS state, round(d, 6) AS dist FROM r WHERE r = 1")(
-    lambda s, d: counting.trim_by_distance(assigned(s, d), 10.0).select("id", "state", F.round("dist", 6).alias("dist"))
+query("trim_by_distance", ASSIGN + " SELECT id, CASE WHEN d <= 1 THEN gid END AS state, round(d, 6) AS dist FROM r WHERE r = 1")(
+    lambda s, d: counting.trim_by_distance(assigned(s, d), 1.0).select("id", "state", F.round("dist", 6).alias("dist"))
 )
 query("p_norm", ASSIGN + " SELECT round(sqrt(avg(d * d)), 6) AS norm, round(max(d), 6) AS top FROM r WHERE r = 1")(
     lambda s, d: assigned(s, d).agg(F.round(neighbors.p_norm(F.col("dist"), 2), 6).alias("norm"), F.round(neighbors.p_norm(F.col("dist"), "max"), 6).alias("top"))
 )
-query("neighbours_within", ROWS + " SELECT b.vec_id AS gid, a.vec_id AS id FROM e a JOIN e b ON b.vec_id < 20 AND a.k = b.k GROUP BY 1, 2 HAVING sqrt(sum((a.x - b.x) * (a.x - b.x))) < 9")(
-    lambda s, d: embedded(s, d).join(F.broadcast(embedded(s, d).where("id < 20").select(F.col("id").alias("gid"), F.col("features").alias("other"))), v.metric("euclidean")(F.col("features"), F.col("other")) < 9).select("gid", "id")
+query("neighbours_within", ROWS + " SELECT b.vec_id AS gid, a.vec_id AS id FROM e a JOIN e b ON b.vec_id < 20 AND a.k = b.k GROUP BY 1, 2 HAVING sqrt(sum((a.x - b.x) * (a.x - b.x))) < 1")(
+    lambda s, d: embedded(s, d).join(F.broadcast(embedded(s, d).where("id < 20").select(F.col("id").alias("gid"), F.col("features").alias("other"))), v.metric("euclidean")(F.col("features"), F.col("other")) < 1).select("gid", "id")
 )
 
+# The same under other metrics.
+MIXED = "0.7 * list_distance(a.f, b.f) + 0.1 * list_sum(list_transform(list_zip(a.f, b.f), lambda z: abs(z[1] - z[2])))"
+BY = "WITH e AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings), g AS (SELECT a.id, b.id AS gid, {} AS d FROM e a JOIN e b ON b.id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 9), gid) AS r FROM g) SELECT id, gid AS state, round(d, 6) AS dist FROM r WHERE r = 1"
+
+
+def assigned_by(metric):
+    def run(s, d):
+        e = embedded(s, d)
+        return neighbors.assign(e, e.where("id < 20").select(F.col("id").alias("gid"), "features"), ["id"], metric=metric).select("id", "state", F.round("dist", 6).alias("dist"))
+
+    return run
+
+
+MIX = pairwise.hybrid([(pairwise.metric("euclidean"), slice(0, 64), 0.7), (pairwise.metric("cityblock"), slice(0, 64), 0.1)])
+query("assign_hybrid", BY.format(MIXED))(assigned_by(MIX))
+query("assign_cityblock", BY.format("list_sum(list_transform(list_zip(a.f, b.f), lambda z: abs(z[1] - z[2])))"))(assigned_by("cityblock"))
+query("assign_cosine", BY.format("list_cosine_distance(a.f, b.f)"))(assigned_by("cosine"))
+
 # Embeddings as trajectories: labels in order of the vector's id.
 SEQ = "WITH v AS (SELECT label AS traj_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding FROM embeddings), e AS (SELECT traj_id, frame, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM v)"
 
@@ -138,8 +160,8 @@ query("square_drift", SEQ + " SELECT a.traj_id, a.frame, round(sum((a.x - b.x) *
 query("epsilon_neighbourhood", SEQ + ", p AS (SELECT a.traj_id, a.frame, b.frame AS g, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM e a JOIN e b ON a.traj_id = b.traj_id AND abs(b.frame - a.frame) = 2 AND a.k = b.k GROUP BY 1, 2, 3) SELECT traj_id, frame, round(max(d), 6) AS epsilon FROM p GROUP BY 1, 2")(
     lambda s, d: neighbors.epsilon_neighbourhood(sequences(s, d), 2, v.metric("euclidean")).where("epsilon is not null").select("traj_id", "frame", F.round("epsilon", 6).alias("epsilon"))
 )
-query("hitting_time", SEQ + ", p AS (SELECT a.traj_id, a.frame, b.frame - a.frame AS h FROM e a JOIN e b ON a.traj_id = b.traj_id AND b.frame > a.frame AND a.k = b.k GROUP BY a.traj_id, a.frame, b.frame HAVING sqrt(sum((a.x - b.x) * (a.x - b.x))) > 12) SELECT v.traj_id, v.frame, min(h) AS hit FROM v LEFT JOIN p USING (traj_id, frame) GROUP BY 1, 2")(
-    lambda s, d: neighbors.hitting_time(sequences(s, d), 12.0, v.metric("euclidean"))
+query("hitting_time", SEQ + ", p AS (SELECT a.traj_id, a.frame, b.frame - a.frame AS h FROM e a JOIN e b ON a.traj_id = b.traj_id AND b.frame > a.frame AND a.k = b.k GROUP BY a.traj_id, a.frame, b.frame HAVING sqrt(sum((a.x - b.x) * (a.x - b.x))) > 1.3) SELECT v.traj_id, v.frame, min(h) AS hit FROM v LEFT JOIN p USING (traj_id, frame) GROUP BY 1, 2")(
+    lambda s, d: neighbors.hitting_time(sequences(s, d), 1.3, v.metric("euclidean"))
 )
 
 TICA = SEQ + ", z AS (SELECT a.traj_id, a.frame, a.k, a.x, b.x AS y FROM e a JOIN e b ON a.traj_id = b.traj_id AND b.frame = a.frame + 1 AND a.k = b.k), n AS (SELECT count(*) / 64.0 AS n FROM z), u AS (SELECT k, (sum(x) + sum(y)) / (2 * (SELECT n FROM n)) AS m FROM z GROUP BY 1)"
@@ -189,7 +211,15 @@ def _centres(k):
 
 
 query("kcenters_k5", _centres(5))(lambda s, d: clustering.k_centers(embedded(s, d), 5)[0].select("id", "state", F.round("dist", 6).alias("dist")))
-query("kcenters_cutoff")(lambda s, d: clustering.k_centers(embedded(s, d), cutoff=11.5, k=40)[0].select("id", "state", F.round("dist", 6).alias("dist")))
+#: SQL of farthest-first traversal until no distance reaches a cutoff: centres and their distances to every vector, as lists that grow.
+UNTIL = """WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings),
+t(k, id, f, state, dist, far, fid) AS (SELECT 0, e.id, e.f, 0, list_distance(e.f, c.f), NULL::DOUBLE, NULL::BIGINT FROM e, (SELECT f FROM e ORDER BY id LIMIT 1) c UNION ALL
+SELECT k + 1, id, f, CASE WHEN n < dist THEN k + 1 ELSE state END, least(dist, n), NULL, NULL FROM (SELECT t.*, list_distance(t.f, c.f) AS n FROM t, (SELECT f FROM t ORDER BY dist DESC, id LIMIT 1) c WHERE (SELECT max(dist) FROM t) >= {cutoff}))
+SELECT id, state, round(dist, 6) AS dist FROM t WHERE k = (SELECT max(k) FROM t)"""
+query("kcenters_cutoff", UNTIL.format(cutoff=1.42))(lambda s, d: clustering.k_centers(embedded(s, d), cutoff=1.42)[0].select("id", "state", F.round("dist", 6).alias("dist")))
+query("kcenters_cityblock", _centres(4).replace("list_distance(e.f, c0.f)", "list_sum(list_transform(list_zip(e.f, c0.f), lambda z: abs(z[1] - z[2])))").replace("list_distance(t.f, c.f)", "list_sum(list_transform(list_zip(t.f, c.f), lambda z: abs(z[1] - z[2])))"))(
+    lambda s, d: clustering.k_centers(embedded(s, d), 4, metric="cityblock")[0].select("id", "state", F.round("dist", 6).alias("dist"))
+)
 query("hybrid_kmedoids")(lambda s, d: clustering.hybrid_k_medoids(embedded(s, d), 8, rounds=3)[0].select("id", "state", F.round("dist", 6).alias("dist")))
 
 
@@ -202,31 +232,28 @@ def subsampled_clarans(s, d):
 query("hierarchical")(lambda s, d: clustering.hierarchical(embedded(s, d), 10))
 
 
-# Frames and catalogs.
-WHOLE = "WITH f AS (SELECT frame_id, any_value(traj_id) AS traj_id, any_value(frame) AS frame, any_value(xyz) AS xyz FROM xyz_frames WHERE len(xyz) = 22 GROUP BY 1)"
-SANE = " WHERE list_max(list_transform(flatten(xyz), lambda x: CASE WHEN isfinite(x) THEN abs(x) ELSE 1e9 END)) < 100"
-
-
-def whole(s, d):
-    rows = table(s, d, "xyz_frames").where(F.size("xyz") == 22).dropDuplicates(["frame_id"])
-    worst = F.array_max(F.transform(F.flatten("xyz"), lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 1e9).otherwise(F.abs(x))))
-    return rows.where(worst < 100)
+# Frames and catalogs. A frame delivered twice has the same content, so what is measured is taken first and then made distinct.
+FINITE = "coalesce(list_bool_and(list_transform(flatten(xyz), lambda x: isfinite(x))), true)"
+WHOLE = f"WITH f AS (SELECT frame_id, any_value(traj_id) AS traj_id, any_value(frame) AS frame, any_value(xyz) AS xyz FROM xyz_frames WHERE len(xyz) = 22 AND {FINITE} GROUP BY 1)"
 
 
 def not_finite():
     return F.coalesce(F.exists(F.flatten("xyz"), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
 
 
-
 def complete(s, d):
-    """Every frame that holds 22 atoms, once, however large its coordinates are; the operators leave out what is not finite."""
-    return table(s, d, "xyz_frames").where(F.size("xyz") == 22).dropDuplicates(["frame_id"])
+    """Every frame that holds 22 atoms, however large its coordinates are; a frame delivered twice is there twice."""
+    return table(s, d, "xyz_frames").where(F.size("xyz") == 22)
 
 
 def finite(s, d):
     return complete(s, d).where(~not_finite())
 
 
+def once(df):
+    return df.dropDuplicates(["frame_id"])
+
+
 def _d(i, j):
     return "sqrt(" + " + ".join(f"pow(xyz[{i + 1}][{k}] - xyz[{j + 1}][{k}], 2)" for k in (1, 2, 3)) + ")"
 
@@ -247,21 +274,30 @@ def residue_contacts(frames):
 
 
 def centred_frames(frames):
-    return frames.select("frame_id", v.centre(F.col("xyz"))[0].alias("p")).select("frame_id", *[F.round(F.col("p")[k], 6).alias("xyz"[k]) for k in range(3)])
+    return frames.select("frame_id", v.centre(F.col("xyz"))[0].alias("p")).select("frame_id", *[F.round(F.col("p")[k], 4).alias("xyz"[k]) for k in range(3)])
 
 
-query("atom_pair_distances", WHOLE + " SELECT frame_id, " + ", ".join(f"round({_d(i, j)}, 6) AS d{n}" for n, (i, j) in enumerate(PAIR_LIST)) + " FROM f" + SANE)(lambda s, d: atom_pair_distances(whole(s, d)))
-query("contact_bool", WHOLE + " SELECT frame_id, " + ", ".join(f"{_d(i, j)} < 0.5 AS c{n}" for n, (i, j) in enumerate(PAIR_LIST)) + " FROM f" + SANE)(lambda s, d: contact_bool(whole(s, d)))
-query("residue_contacts", WHOLE + " SELECT frame_id, round(least(" + ", ".join(_d(i, j) for i in (0, 1, 2) for j in (10, 11)) + "), 6) AS dist FROM f" + SANE)(lambda s, d: residue_contacts(whole(s, d)))
-query("centred_frames", WHOLE + ", m AS (SELECT frame_id, xyz, list_avg(list_transform(xyz, lambda p: p[1])) AS a, list_avg(list_transform(xyz, lambda p: p[2])) AS b, list_avg(list_transform(xyz, lambda p: p[3])) AS c FROM f" + SANE + ") SELECT frame_id, round(xyz[1][1] - a, 6) AS x, round(xyz[1][2] - b, 6) AS y, round(xyz[1][3] - c, 6) AS z FROM m")(
-    lambda s, d: centred_frames(whole(s, d))
+query("atom_pair_distances", WHOLE + " SELECT frame_id, " + ", ".join(f"round({_d(i, j)}, 6) AS d{n}" for n, (i, j) in enumerate(PAIR_LIST)) + " FROM f")(lambda s, d: once(atom_pair_distances(finite(s, d))))
+query("contact_bool", WHOLE + " SELECT frame_id, " + ", ".join(f"{_d(i, j)} < 0.5 AS c{n}" for n, (i, j) in enumerate(PAIR_LIST)) + " FROM f")(lambda s, d: once(contact_bool(finite(s, d))))
+query("residue_contacts", WHOLE + " SELECT frame_id, round(least(" + ", ".join(_d(i, j) for i in (0, 1, 2) for j in (10, 11)) + "), 6) AS dist FROM f")(lambda s, d: once(residue_contacts(finite(s, d))))
+query("centred_frames", WHOLE + ", m AS (SELECT frame_id, xyz, list_sum(list_transform(xyz, lambda p: p[1])) / 22 AS a, list_sum(list_transform(xyz, lambda p: p[2])) / 22 AS b, list_sum(list_transform(xyz, lambda p: p[3])) / 22 AS c FROM f) SELECT frame_id, round(xyz[1][1] - a, 4) AS x, round(xyz[1][2] - b, 4) AS y, round(xyz[1][3] - c, 4) AS z FROM m")(
+    lambda s, d: once(centred_frames(finite(s, d)))
+)
+TORSIONS = [(4, 6, 8, 14), (6, 8, 14, 16)]
+
+
+def _torsion(n, i, j, k, m):
+    """SQL of one torsion angle, step by step: differences of neighbours, normals, angle."""
+    minus = lambda a, b: "[" + ", ".join(f"xyz[{a + 1}][{c}] - xyz[{b + 1}][{c}]" for c in (1, 2, 3)) + "]"
+    return (f"SELECT frame_id, atan2(sqrt(list_dot_product(b2, b2)) * list_dot_product(b1, n2), list_dot_product(n1, n2)) AS t{n} FROM "
+            f"(SELECT *, list_value(b1[2] * b2[3] - b1[3] * b2[2], b1[3] * b2[1] - b1[1] * b2[3], b1[1] * b2[2] - b1[2] * b2[1]) AS n1, "
+            f"list_value(b2[2] * b3[3] - b2[3] * b3[2], b2[3] * b3[1] - b2[1] * b3[3], b2[1] * b3[2] - b2[2] * b3[1]) AS n2 FROM "
+            f"(SELECT frame_id, {minus(j, i)} AS b1, {minus(k, j)} AS b2, {minus(m, k)} AS b3 FROM f))")
+
+
+query("sincos_torsions", WHOLE + f", a AS ({_torsion(0, *TORSIONS[0])}), b AS ({_torsion(1, *TORSIONS[1])}) SELECT frame_id, [round(cos(t0), 6), round(cos(t1), 6), round(sin(t0), 6), round(sin(t1), 6)] AS features FROM a JOIN b USING (frame_id)")(
+    lambda s, d: once(finite(s, d).select("frame_id", F.transform(v.torsions(F.col("xyz"), TORSIONS), lambda x: F.round(x, 6)).alias("features")))
 )
-# The SQL of these four leaves out frames that reach 100 nm; the same over every finite frame, without SQL:
-query("atom_pair_distances_all")(lambda s, d: atom_pair_distances(finite(s, d)))
-query("contact_bool_all")(lambda s, d: contact_bool(finite(s, d)))
-query("residue_contacts_all")(lambda s, d: residue_contacts(finite(s, d)))
-query("centred_frames_all")(lambda s, d: centred_frames(finite(s, d)))
-query("sincos_torsions")(lambda s, d: finite(s, d).select("frame_id", F.transform(v.torsions(F.col("xyz"), [(4, 6, 8, 14), (6, 8, 14, 16)]), lambda x: F.round(x, 6)).alias("features")))
 
 
 def reference(s, d):
@@ -269,21 +305,68 @@ def reference(s, d):
     return np.array([list(r) for r in rows], float)
 
 
-query("reference_rmsd")(lambda s, d: neighbors.reference_rmsd(finite(s, d), reference(s, d), ["frame_id", "traj_id"]).withColumn("dist", F.round("dist", 6)))
+def rmsd_sql(pairs):
+    """SQL (from ``pairs``: keys ..., x, y as lists of 22 points) of the RMSD after superposition: the correlation of the centred atoms, its squared
+    norm, determinant and cofactors, and Newton steps to the largest root of the quaternion matrix's polynomial."""
+    mean = lambda p, k: f"list_sum(list_transform({p}, lambda q: q[{k}])) / 22"
+    centred = lambda p: f"list_transform({p}, lambda q: [" + ", ".join(f"q[{k}] - {p}{k}" for k in (1, 2, 3)) + "])"
+    inner = ", ".join(f"list_sum(list_transform(range(1, 23), lambda n: u[n][{i}] * w[n][{j}])) AS m{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
+    of = {(i, j): "(m{0}{2} * m{1}{3} - m{0}{3} * m{1}{2})".format(i % 3 + 1, (i + 1) % 3 + 1, j % 3 + 1, (j + 1) % 3 + 1) for i in (1, 2, 3) for j in (1, 2, 3)}
+    norm = " + ".join(f"m{i}{j} * m{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
+    cofactors = " + ".join(f"{x} * {x}" for x in of.values())
+    step = "CASE WHEN (4 * l * l - 4 * n) * l - 8 * t > 0 THEN l - (((l * l - 2 * n) * l - 8 * t) * l + n * n - 4 * q) / ((4 * l * l - 4 * n) * l - 8 * t) ELSE l END"
+    sql = f"c0 AS (SELECT *, {', '.join(f'{mean(p, k)} AS {p}{k}' for p in 'xy' for k in (1, 2, 3))} FROM ({pairs})), c1 AS (SELECT *, {centred('x')} AS u, {centred('y')} AS w FROM c0)"
+    sql += ", c2 AS (SELECT *, list_sum(list_transform(flatten(u), lambda z: z * z)) + list_sum(list_transform(flatten(w), lambda z: z * z)) AS g, " + inner + " FROM c1)"
+    sql += f", c3 AS (SELECT *, {norm} AS n, m11 * {of[1, 1]} + m12 * {of[1, 2]} + m13 * {of[1, 3]} AS t, {cofactors} AS q FROM c2), l0 AS (SELECT * EXCLUDE (x, y, u, w), least(g / 2, sqrt(3 * n)) AS l FROM c3)"
+    for k in range(1, 41):
+        sql += f", l{k} AS (SELECT * REPLACE ({step} AS l) FROM l{k - 1})"
+    return sql + ", rmsd AS (SELECT *, sqrt(greatest(g - 2 * l, 0) / 22) AS dist FROM l40)"
+
 
+ATOMS = ", ref AS (SELECT list([x, y, z] ORDER BY atom) AS y FROM atoms)"
+OFF = WHOLE + ATOMS + ", " + rmsd_sql("SELECT frame_id, traj_id, xyz AS x, y FROM f, ref")
+query("reference_rmsd", OFF + " SELECT frame_id, traj_id, round(dist, 5) AS dist FROM rmsd")(lambda s, d: once(neighbors.reference_rmsd(finite(s, d), reference(s, d), ["frame_id", "traj_id"]).withColumn("dist", F.round("dist", 5))))
 
-@query("rmsd_explosions")
+
+@query("rmsd_explosions", OFF + f" SELECT traj_id, CASE WHEN isinf(max(dist)) THEN 'Explosion: Infinity' ELSE printf('Explosion: %.4f', max(dist)) END AS errors FROM (SELECT traj_id, dist FROM rmsd UNION ALL SELECT traj_id, 'inf'::DOUBLE FROM xyz_frames WHERE len(xyz) = 22 AND NOT {FINITE}) GROUP BY 1 HAVING max(dist) > 0.5")
 def rmsd_explosions(s, d):
     """A frame with a coordinate that is not finite is infinitely far off."""
     far = complete(s, d).where(not_finite()).select("frame_id", "traj_id", F.lit(float("inf")).alias("dist"))
     return cat.exploded(neighbors.reference_rmsd(finite(s, d), reference(s, d), ["frame_id", "traj_id"]).unionByName(far), 0.5)(None)
 
 
+#: The first stored complete frame of each of the four first trajectories, as generators.
+STARTS = ", o AS (SELECT traj_id, min(frame_id) AS frame_id FROM f GROUP BY 1 ORDER BY 1 LIMIT 4), g AS (SELECT CAST(row_number() OVER (ORDER BY o.traj_id) - 1 AS BIGINT) AS gid, f.xyz FROM o JOIN f ON f.frame_id = o.frame_id)"
+
+
+def flattened(s, d):
+    return finite(s, d).select("frame_id", "traj_id", F.flatten("xyz").alias("features"))
+
+
+@query("assign_rmsd", WHOLE + STARTS + ", " + rmsd_sql("SELECT frame_id, gid, f.xyz AS x, g.xyz AS y FROM f, g") + ", best AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY round(dist, 6), gid) AS r FROM rmsd) SELECT frame_id, gid AS state, round(dist, 4) AS dist FROM best WHERE r = 1")
+def assign_rmsd(s, d):
+    """Every frame's nearest of four frames by RMSD."""
+    x = flattened(s, d)
+    first = x.groupBy("traj_id").agg(F.min_by("features", "frame_id").alias("features")).orderBy("traj_id").limit(4)
+    starts = first.withColumn("gid", (F.row_number().over(Window.orderBy("traj_id")) - 1).cast("long"))
+    return once(neighbors.assign(x, starts, ["frame_id"], metric="rmsd").select("frame_id", "state", F.round("dist", 4).alias("dist")))
+
+
+@query("kcenters_rmsd")
+def kcenters_rmsd(s, d):
+    """Farthest-first centres by RMSD among the frames whose coordinates stay below 100 nm (the rest are explosions)."""
+    x = flattened(s, d).where(F.array_max(F.transform("features", lambda z: F.abs(z))) < 100)
+    return clustering.k_centers(once(x), 4, key="frame_id", metric="rmsd")[0].select("frame_id", "state", F.round("dist", 4).alias("dist"))
+
+
 query("min_length_filter", "SELECT traj_id FROM (SELECT traj_id, count(*) AS n FROM xyz_frames WHERE traj_id IS NOT NULL GROUP BY 1) WHERE n < 100")(lambda s, d: cat.too_short(100)(table(s, d, "xyz_frames").where("traj_id is not null")).select("traj_id"))
 query("valid_trajectories", "SELECT CAST(row_number() OVER (ORDER BY traj_id) - 1 AS BIGINT) AS index, traj_id, length FROM traj_catalog WHERE errors IS NULL")(lambda s, d: cat.Catalog(table(s, d, "traj_catalog")).lengths())
 query("n_trajs", "SELECT count(*) AS n_trajs FROM traj_catalog WHERE errors IS NULL")(lambda s, d: cat.Catalog(table(s, d, "traj_catalog")).n_trajs())
 query("trajectory_shapes", "SELECT traj_id, count(*) AS n_frames, max(len(xyz)) AS n_atoms FROM xyz_frames GROUP BY 1")(lambda s, d: cat.Catalog(table(s, d, "traj_catalog"), table(s, d, "xyz_frames")).shapes().withColumn("n_atoms", F.col("n_atoms").cast("long")))
-query("catalog_problems")(lambda s, d: cat.Catalog(table(s, d, "traj_catalog"), table(s, d, "xyz_frames")).problems())
+query("catalog_problems", """WITH h AS (SELECT traj_id, count(*) AS n, max(len(xyz)) AS a FROM xyz_frames GROUP BY 1),
+m AS (SELECT a FROM (SELECT a, count(*) AS c FROM h GROUP BY 1) ORDER BY c DESC, a NULLS FIRST LIMIT 1)
+SELECT traj_id, problem FROM (SELECT t.traj_id, CASE WHEN h.n IS NULL THEN 'no frames' WHEN h.n IS DISTINCT FROM t.length THEN 'length' WHEN h.a <> m.a THEN 'atoms' END AS problem
+FROM traj_catalog t CROSS JOIN m LEFT JOIN h ON h.traj_id = t.traj_id WHERE errors IS NULL) WHERE problem IS NOT NULL""")(lambda s, d: cat.Catalog(table(s, d, "traj_catalog"), table(s, d, "xyz_frames")).problems())
 query("strided_scan", "SELECT frame_id, frame FROM xyz_frames WHERE traj_id = (SELECT traj_id FROM (SELECT traj_id, row_number() OVER (ORDER BY traj_id) AS r FROM traj_catalog WHERE errors IS NULL) WHERE r = 2) AND frame % 5 = 0")(
     lambda s, d: cat.Catalog(table(s, d, "traj_catalog"), table(s, d, "xyz_frames")).load_traj(1, stride=5).select("frame_id", "frame")
 )

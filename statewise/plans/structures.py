@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statewise.operators import counting, neighbors, structures
-from statewise.plans.counting import COUNTS, EVENTS, event_states, held
-from statewise.plans.geometry import ASSIGN, embedded, finite, reference
+from statewise.plans.counting import COUNTS, EVENTS, HELD, event_states, held
+from statewise.plans.geometry import ASSIGN, embedded, finite, once, reference
 from statewise.plans.registry import query, table
 from statewise.streaming import trajectories as st
 
@@ -39,23 +39,28 @@ def streaming_event_windows(s, d):
 @query("aligned_positions")
 def aligned_positions(s, d):
     a = structures.aligned(finite(s, d), reference(s, d), ["frame_id"])
-    return a.select("frame_id", F.transform("features", lambda x: F.round(x, 4)).alias("features"))
+    return once(a).select("frame_id", F.transform("features", lambda x: F.round(x, 4)).alias("features"))
 
 
 @query("permuted_rmsd")
 def permuted_rmsd(s, d):
     a = structures.permuted_rmsd(finite(s, d), reference(s, d), ["frame_id"], list(range(4, 16)), [[0, 1, 2, 3], [19, 20, 21]])
-    return a.select("frame_id", F.round(F.col("features")[0], 6).alias("dist"))
+    return once(a).select("frame_id", F.round(F.col("features")[0], 6).alias("dist"))
 
 
 @query("surface_areas")
 def surface_areas(s, d):
     names = [r[0] for r in table(s, d, "atoms").orderBy("atom").select("name").collect()]
     a = structures.surface_areas(finite(s, d), names, ["frame_id"])
-    return a.select("frame_id", F.posexplode("area").alias("atom", "a")).select("frame_id", "atom", F.round("a", 4).alias("area"))
+    return once(a).select("frame_id", F.posexplode("area").alias("atom", "a")).select("frame_id", "atom", F.round("a", 4).alias("area"))
 
 
-@query("network_graph")
+@query("network_graph", HELD + COUNTS.format(lag=1) + """,
+y AS (SELECT i, j, sum(c) / 2 AS c FROM (SELECT i, j, c FROM c UNION ALL SELECT j, i, c FROM c) GROUP BY 1, 2),
+n AS (SELECT * FROM (SELECT i, sum(c) / (SELECT sum(c) FROM y) AS v FROM y GROUP BY 1) WHERE v > 0.01),
+k AS (SELECT i, j, p FROM (SELECT i, j, c / sum(c) OVER (PARTITION BY i) AS p FROM y) WHERE i <> j AND i IN (SELECT i FROM n) AND j IN (SELECT i FROM n)),
+e AS (SELECT i, j, 2 * p / (SELECT max(p) FROM k) AS w FROM k)
+SELECT 0 AS ord, 'digraph G {' AS line UNION ALL SELECT 3, '}' UNION ALL SELECT 1, printf('  %d [label="%d: %.2f"];', i, i, -ln(v)) FROM n UNION ALL SELECT 2, printf('  %d -> %d [penwidth=%.3f];', i, j, w) FROM e WHERE w > 0.1""")
 def network_graph(s, d):
     counts = counting.transition_counts(held(s, d), [1]).select("i", "j", "c")
     y = counting.symmetrize(counts)
