@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_groups": lambda s, d: clusters.groups_of(_table(s, d, "xyz_frames")),
     "p4_found": lambda s, d: stays.found(_table(s, d, "assignments")),
     "p4_stays": lambda s, d: stays.stays(_table(s, d, "assignments")),
+    "p4_runs": lambda s, d: stays.near_runs(_table(s, d, "assignments")),
     "p5_found": lambda s, d: neighbours.found(_table(s, d, "xyz_frames")),
     "p5_nearest": lambda s, d: neighbours.nearest_frames(_table(s, d, "xyz_frames")),
     "p6_packed": lambda s, d: packing.packed(_table(s, d, "documents")),
