@@ -74,11 +74,6 @@ def marked(text: Column) -> Column:
     return _replace(_replace(F.translate(text, END, ""), MASKS), ENDS)
 
 
-def restore(text: Column) -> Column:
-    """Masked stops back to a full stop or question mark (the mark's own form is not kept; read the text by position where it matters)."""
-    return F.translate(text, DOT + MARK, ".?")
-
-
 def sentences(documents: DataFrame) -> DataFrame:
     """``doc_id, sentence, start_pos, end_pos``: the sentences of each document's prose, numbered from 0, with code-point offsets in ``text``.
 
@@ -98,5 +93,28 @@ def sentences(documents: DataFrame) -> DataFrame:
     return placed.select("doc_id", (F.row_number().over(before) - 1).alias("sentence"), (F.col("_at") + F.col("_l")).alias("start_pos"), (F.col("_at") + F.col("_s")).alias("end_pos"))
 
 
+def sentence_texts(documents: DataFrame) -> DataFrame:
+    """``doc_id, sentence, start_pos, end_pos, text``: ``sentences`` with the text of each.
+
+    What was masked is restored by place: masking keeps every character's place, so a sentence is cut out of the untouched prose. Numbers,
+    places and texts are all found within a document's row; only repeated rows meet in a shuffle.
+    """
+    body = F.expr("substring(text, cast(body_from as int) + 1, greatest(cast(body_to - body_from as int), 0))")
+    rows = documents.where("doc_id is not null and text is not null and body_from is not null and body_to is not null").select("doc_id", F.col("body_from").cast("long").alias("_from"), F.translate(body, END, "").alias("_b"))
+    rows = rows.withColumn("_p", F.split(marked(F.col("_b")), END))
+    ends = F.aggregate(F.transform("_p", F.length), F.array(F.lit(0)), lambda at, n: F.array_append(at, F.element_at(at, -1) + n))
+    blank = "[\\s\u00a0\u202f\u200b\u200c\u200d\u2060\ufeff]+"
+
+    def place(piece: Column, k: Column) -> Column:
+        at = F.get(F.col("_at"), k)
+        lead = F.length(piece) - F.length(F.regexp_replace(piece, "^" + blank, ""))
+        return F.struct((at + lead).alias("a"), (at + F.length(F.regexp_replace(piece, blank + "$", ""))).alias("z"))
+
+    rows = rows.withColumn("_at", ends).withColumn("_s", F.filter(F.transform("_p", place), lambda x: x["z"] > x["a"]))
+    out = rows.select("doc_id", "_from", "_b", F.posexplode("_s").alias("sentence", "_x"))
+    text = F.expr("substring(_b, _x.a + 1, _x.z - _x.a)")
+    return out.select("doc_id", "sentence", (F.col("_from") + F.col("_x.a")).alias("start_pos"), (F.col("_from") + F.col("_x.z")).alias("end_pos"), text.alias("text")).distinct()
+
+
 def found(documents: DataFrame) -> DataFrame:
     return sentences(documents).select("doc_id", "end_pos")
