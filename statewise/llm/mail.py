@@ -11,6 +11,7 @@ import unicodedata
 from collections.abc import Iterator
 
 BOUNDARY = re.compile(r"boundary\s*=\s*(?:\"([^\"\r\n]+)\"|([^\s;\"]+))", re.I)
+DELIMITER = re.compile(r"^--(.+?)[ \t]*\r?$", re.M)
 BLANK = re.compile(r"\r?\n[ \t]*\r?\n|\r\r")
 TYPE = re.compile(r"^content-type\s*:\s*([\w.+-]+/[\w.+-]+)", re.I | re.M)
 CHARSET = re.compile(r"charset\s*=\s*\"?([\w.:-]+)", re.I)
@@ -18,8 +19,13 @@ CODING = re.compile(r"^content-transfer-encoding\s*:\s*([\w-]+)", re.I | re.M)
 SPECIAL = re.compile(r"content-transfer-encoding\s*:\s*(?:base64|quoted-printable)|text/html|<html|<body|</p>|<br|<div|boundary\s*=", re.I)
 HIDDEN = re.compile(r"<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
 INLINE = re.compile(r"</?(?:a|abbr|b|big|cite|code|em|font|i|ins|del|mark|q|s|small|span|strong|sub|sup|tt|u|wbr)\b[^<>]*>", re.I)
+MARKUP = re.compile(r"<(?:html|body|p|div|br)\b[^<>]*>", re.I)
 TAG = re.compile(r"</?[a-z][^<>]*>|<![^<>]*>", re.I)
-INVISIBLE = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0xFE00, 0xFE10), 0xFEFF])
+INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
+
+
+UNPACKED = re.compile(r"[^A-Za-z0-9+/]+")
+FIELD = re.compile(r"[\w-]+\s*:")
 
 
 def _decoded(raw: bytes, charset: str | None) -> str:
@@ -43,17 +49,17 @@ def _part(head: str, body: str) -> str | None:
     coding = coding[1].lower() if coding else ""
     if not kind.startswith(("text/", "message/", "multipart/")):
         return None
-    charset = CHARSET.search(head)
+    charset = CHARSET.search(head) if coding else None
     charset = charset[1] if charset else None
     if coding == "base64":
-        packed = re.sub(r"[^A-Za-z0-9+/]", "", body)
+        packed = UNPACKED.sub("", body)
         try:
             body = _decoded(base64.b64decode(packed[: len(packed) - (len(packed) % 4 == 1)] + "=" * (-len(packed) % 4)), charset)
         except (binascii.Error, ValueError):
             return None
     elif coding == "quoted-printable":
         body = _decoded(quopri.decodestring(body.encode("utf-8", "surrogatepass")), charset)
-    return _plain(body) if kind == "text/html" or re.search(r"<(?:html|body|p|div|br)\b[^<>]*>", body, re.I) else body
+    return _plain(body) if kind == "text/html" or MARKUP.search(body) else body
 
 
 def texts(message: str) -> Iterator[str]:
@@ -62,15 +68,17 @@ def texts(message: str) -> Iterator[str]:
         yield message
         return
     marks = {a or b for a, b in BOUNDARY.findall(message)}
-    if marks:
-        pieces = re.split(r"^--(?:" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + r")(?:--)?[ \t]*\r?$", message, flags=re.M)
-    else:
-        pieces = [message]
+    pieces, at = [], 0
+    for line in DELIMITER.finditer(message) if marks else ():
+        if line[1] in marks or (line[1].endswith("--") and line[1][:-2] in marks):
+            pieces.append(message[at : line.start()])
+            at = line.end()
+    pieces.append(message[at:])
     for k, piece in enumerate(pieces):
         piece = piece.lstrip("\r\n") if k else piece
         cut = BLANK.search(piece)
         head, body = (piece[: cut.start()], piece[cut.end() :]) if cut else (piece, "")
-        if k and not re.match(r"[\w-]+\s*:", head):
+        if k and not FIELD.match(head):
             head, body = "", piece
         if k == 0 or not cut:
             yield head
@@ -83,7 +91,7 @@ def folded(text: str) -> str:
     """Case, width and invisible characters removed."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKC", text.translate(INVISIBLE)).lower()
+    return unicodedata.normalize("NFKC", INVISIBLE.sub("", text)).lower()
 
 
 __all__ = ["folded", "texts"]

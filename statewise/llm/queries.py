@@ -23,7 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_nearest": lambda s, d: neighbours.nearest_frames(_table(s, d, "xyz_frames")),
     "p6_packed": lambda s, d: packing.packed(_table(s, d, "documents")),
     "p7_found": lambda s, d: leaks.leaks(_table(s, d, "documents"), _table(s, d, "eval_items")),
+    "p7_report": lambda s, d: leaks.leaks(_table(s, d, "documents"), _table(s, d, "eval_items"), report=True),
     "p8_found": lambda s, d: sentences.found(_table(s, d, "documents")),
+    "p8_sentences": lambda s, d: sentences.sentence_texts(_table(s, d, "documents")),
 }
 
 SQL: dict[str, str] = {

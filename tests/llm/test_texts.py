@@ -78,6 +78,36 @@ def test_planted_runs_are_found(item, at, noise):
     assert item in leaks.Index(named, 13, False).leaks(doc)
 
 
+def test_inserted_words(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in {**HOLDS, **LACKS}.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(100, ITEM), (101, HAN)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs, items, inserted=1).collect()}
+    assert got == {(k, 101 if k == 7 else 100) for k in HOLDS} | {(21, 100)}
+
+
+def test_report(spark):
+    docs = spark.createDataFrame([(1, HOLDS[1]), (2, ITEM), (3, " ".join(WORDS[12:])), (4, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(100, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r for r in leaks.leaks(docs, items, report=True).collect()}
+    assert set(got) == {1, 2, 3} and got[1].runs == 1 and got[2].runs == len(WORDS) - 12
+    assert got[2].question_share == got[2].answer_share == 1.0 and got[3].answer_share == 1.0 and 0 < got[3].question_share < 0.2
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 12), min_size=13, max_size=30), st.lists(st.integers(0, 13), max_size=50), st.integers(1, 3))
+def test_runs_with_inserted_words(item, doc, inserted):
+    index = leaks.Index([(1, [f"w{x}" for x in item])], 4, False)
+    words, spoken = [f"w{x}" for x in item], [f"w{x}" for x in doc]
+
+    def reach(i, p, left, n):
+        if n == 4:
+            return True
+        return any(i + 1 + k < len(spoken) and p + 1 < len(words) and spoken[i + 1 + k] == words[p + 1] and reach(i + 1 + k, p + 1, left - k, n + 1) for k in range(left + 1))
+
+    want = any(spoken[i] == words[p] and reach(i, p, inserted, 1) for i in range(len(spoken)) for p in range(len(words)))
+    assert index.holds(spoken, 0, inserted) == want
+
+
 CASES = [
     ("en", "Dr. Bo met J. K. Lee at 5 p.m. The U.S. team, etc., left.", ["Dr. Bo met J. K. Lee at 5 p.m.", "The U.S. team, etc., left."]),
     ("en", "It ran at 140.4 K. 28. The box is ok. Mail x.v1.4.dat or call ext. 16, now.", ["It ran at 140.4 K.", "28. The box is ok.", "Mail x.v1.4.dat or call ext. 16, now."]),
@@ -113,3 +143,13 @@ def test_odd_bodies(spark):
         got.setdefault(r.doc_id, []).append(r.end_pos)
     assert set(got) == {6, 7, 9} and sorted(got[6]) == [4, 9] and sorted(got[9])[0] == 5
     assert sentences.sentences(docs.limit(0)).count() == 0
+
+
+def test_texts_of_sentences(spark):
+    docs = spark.createDataFrame([(k, f"To: x\n\n{t} end", 7, 7 + len(t), "z") for k, (_, t, _) in enumerate(CASES)] + [(50, "", 0, 0, ""), (51, None, 0, 1, ""), (52, "abc", None, 3, ""), (0, f"To: x\n\n{CASES[0][1]} end", 7, 7 + len(CASES[0][1]), "")], "doc_id long, text string, body_from long, body_to long, sentence string")
+    whole = {r.doc_id: r.text for r in docs.where("text is not null").collect()}
+    got = sorted(sentences.sentence_texts(docs).collect())
+    places = sorted(tuple(r) for r in sentences.sentences(docs).collect())
+    assert [(r.doc_id, r.sentence, r.start_pos, r.end_pos) for r in got] == places
+    assert all(whole[r.doc_id][r.start_pos : r.end_pos] == r.text for r in got)
+    assert [r.text for r in got if r.doc_id == 0] == CASES[0][2]
