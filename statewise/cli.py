@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from statewise.operators import clustering, counting, lumping, model, neighbors, paths
+from statewise.operators import clustering, counting, lumping, model, neighbors, paths, structures, tica
 from statewise.operators.matrix import from_dense, from_vector, to_dense
 
 
@@ -42,14 +42,54 @@ def timescales(spark, a) -> None:
 
 
 def cluster(spark, a) -> None:
+    """Labels and generators of k-centers, hybrid k-medoids or randomised medoids under a metric."""
     frames = spark.read.parquet(a.frames)
-    labels, centres = clustering.k_centers(frames, a.k, a.cutoff, key=a.key)
-    labels.write.parquet(f"{a.out}/assignments.parquet")
-    frames.join(spark.createDataFrame([(c, n) for n, c in enumerate(centres)], f"{a.key} {dict(frames.dtypes)[a.key]}, gid long"), a.key).select("gid", "features").write.parquet(f"{a.out}/generators.parquet")
+    if a.method == "clarans":
+        centres = clustering.subsampled_clarans(frames, a.k, key=a.key, metric=a.metric)
+    elif a.method == "kmedoids":
+        centres = clustering.hybrid_k_medoids(frames, a.k, key=a.key, metric=a.metric)[1]
+    else:
+        centres = clustering.k_centers(frames, a.k, a.cutoff, key=a.key, metric=a.metric)[1]
+    order = spark.createDataFrame([(c, n) for n, c in enumerate(centres)], f"{a.key} {dict(frames.dtypes)[a.key]}, gid long")
+    frames.join(order, a.key).select("gid", "features").write.parquet(f"{a.out}/generators.parquet")
+    neighbors.assign(frames, spark.read.parquet(f"{a.out}/generators.parquet"), [a.key], metric=a.metric).write.parquet(f"{a.out}/assignments.parquet")
+
+
+def hierarchical(spark, a) -> None:
+    """A label for every row: linkage of a sample, cut into k clusters, the rest by the nearest sampled row."""
+    clustering.hierarchical(spark.read.parquet(a.frames), a.k, a.method, key=a.key, metric=a.metric).write.parquet(a.out)
 
 
 def assign(spark, a) -> None:
-    neighbors.assign_with_checkpoint(spark.read.parquet(a.frames), spark.read.parquet(a.generators), a.out)
+    """The nearest generator of every frame, appended trajectory by trajectory."""
+    neighbors.assign_with_checkpoint(spark.read.parquet(a.frames), spark.read.parquet(a.generators), a.out, metric=a.metric)
+
+
+def tica_train(spark, a) -> None:
+    """A projection fitted to feature sequences (traj_id, frame, features)."""
+    frames = spark.read.parquet(a.frames)
+    width = frames.agg(F.max(F.size("features"))).first()[0]
+    tica.save(spark, tica.solve(tica.moments(frames, a.lag, width), a.lag), a.out)
+
+
+def passage_times(spark, a) -> None:
+    """Mean first passage times to one state, or between all."""
+    t = to_dense(spark.read.parquet(a.tprob), "p")
+    (from_dense(spark, paths.all_mfpts(t, lag=a.lag), "v", keep_zero=True) if a.state < 0 else from_vector(spark, paths.mfpt(a.state, t, a.lag))).write.parquet(a.out)
+
+
+def structures_of(spark, a) -> None:
+    """Sampled frames of every state, with their coordinates."""
+    picked = counting.sample_per_state(_states(spark, a.assignments), a.n, a.seed, a.replacement)
+    frames = spark.read.parquet(a.frames).dropDuplicates(["traj_id", "frame"]).select("traj_id", "frame", "xyz")
+    structures.save_structures(picked.join(frames, ["traj_id", "frame"]), a.out, a.style)
+
+
+def trajectory(spark, a) -> None:
+    """A walk over a model's states, with a frame drawn anew for every visit."""
+    states = model.walk(to_dense(spark.read.parquet(a.tprob), "p"), a.start, a.steps, a.seed)
+    walk = spark.createDataFrame([(int(s), k) for k, s in enumerate(states)], "state int, draw int")
+    counting.draws(_states(spark, a.assignments), walk, a.seed).withColumnRenamed("draw", "step").write.parquet(a.out)
 
 
 def theory(spark, a) -> None:
@@ -86,8 +126,15 @@ def parser() -> argparse.ArgumentParser:
     kind = ("--symmetrize", {"default": "mle"})
     add("build", build, ("--assignments", {"required": True}), ("--lag", {"type": int, "default": 1}), kind, ("--no-trim", {"action": "store_true"}), ("--strided", {"action": "store_true"}))
     add("timescales", timescales, ("--assignments", {"required": True}), ("--lags", many), ("--n", {"type": int, "default": 10}), kind)
-    add("cluster", cluster, ("--frames", {"required": True}), ("--key", {"default": "id"}), ("--k", {"type": int}), ("--cutoff", {"type": float}))
-    add("assign", assign, ("--frames", {"required": True}), ("--generators", {"required": True}))
+    frames, key, metric = ("--frames", {"required": True}), ("--key", {"default": "id"}), ("--metric", {"default": None})
+    assignments, tprob, lag, seed = ("--assignments", {"required": True}), ("--tprob", {"required": True}), ("--lag", {"type": float, "default": 1.0}), ("--seed", {"type": int, "default": 0})
+    add("cluster", cluster, frames, key, ("--k", {"type": int}), ("--cutoff", {"type": float}), metric, ("--method", {"choices": ["kcenters", "kmedoids", "clarans"], "default": "kcenters"}))
+    add("hierarchical", hierarchical, frames, key, ("--k", whole), metric, ("--method", {"choices": clustering.METHODS, "default": "average"}))
+    add("assign", assign, frames, ("--generators", {"required": True}), metric)
+    add("tica", tica_train, frames, ("--lag", {"type": int, "default": 1}))
+    add("mfpt", passage_times, tprob, ("--state", {"type": int, "default": -1}), lag)
+    add("structures", structures_of, assignments, frames, ("--n", whole), seed, ("--replacement", {"action": "store_true"}), ("--style", {"choices": ["sep", "tps", "one"], "default": "sep"}))
+    add("trajectory", trajectory, assignments, tprob, ("--start", {"type": int, "default": None}), ("--steps", whole), seed)
     add("theory", theory, ("--tprob", {"required": True}), ("--sources", many), ("--sinks", many), ("--lag", {"type": float, "default": 1.0}), ("--n", {"type": int, "default": 10}))
     add("lump", lump, ("--tprob", {"required": True}), ("--n", whole), ("--method", {"choices": ["pcca", "pcca_plus", "bace"], "default": "pcca"}))
     return p

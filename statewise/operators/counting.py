@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statewise.session import materialize, shuffle_partitions
+
 #: Frames per block: lag pairs and strides are found per (trajectory, block), so a long trajectory is many tasks.
 BLOCK = 4096
 
@@ -18,22 +20,38 @@ def latest(assignments: DataFrame) -> DataFrame:
     return rows.select("traj_id", "frame", F.when(F.col("_m.state") >= 0, F.col("_m.state")).alias("state"))
 
 
+def numbered(df: DataFrame, key: str, order: list[str], name: str = "frame") -> DataFrame:
+    """``df`` with the row number (from 0) of every row within its ``key``, in ``order``; rows with a null key are left out.
+
+    Rows are range-partitioned by key and order and written so; a row's number is its place within its partition plus the rows of its key in
+    the partitions before. A key that holds most rows is many partitions.
+    """
+    n = max(1, shuffle_partitions(df.sparkSession))
+    rows = materialize(df.where(F.col(key).isNotNull()).repartitionByRange(n, key, *order).withColumn("_pid", F.spark_partition_id()))
+    sizes = rows.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(key, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    place = F.row_number().over(Window.partitionBy(key, "_pid").orderBy(*order)) - 1
+    return rows.withColumn("_place", place).join(starts, [key, "_pid"]).withColumn(name, (F.col("_at") + F.col("_place")).cast("long")).drop("_pid", "_place", "_at")
+
+
 def as_sequence(df: DataFrame, key: str, order: list[str], state: Column) -> DataFrame:
     """Any ordered table as (traj_id, frame, state): frames are row numbers from 0 in ``order`` within ``key``."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("traj_id"), (F.row_number().over(w) - 1).cast("long").alias("frame"), state.alias("state"))
+    rows = numbered(df.select(F.col(key), *order, state.alias("_state")), key, order)
+    return rows.select(F.col(key).alias("traj_id"), "frame", F.col("_state").alias("state"))
 
 
 def lag_pairs(states: DataFrame, lags: list[int], sliding: bool = True) -> DataFrame:
     """``lag, i, j``: the states at frames t and t + lag of one trajectory, for every t (sliding) or every lag-th t from the first valid frame.
 
-    Pairs that touch a null or missing state are dropped. Each block of frames is read with the first max(lags) frames of the next one, so
+    Pairs that touch a null or missing state are dropped. Each block of frames (BLOCK, or the largest lag if that is more) is read with the first max(lags) frames of the next one, so
     the window is bounded and a trajectory that holds most rows is spread over its blocks.
     """
-    if not lags or min(lags) < 1 or max(lags) > BLOCK:
-        raise ValueError(f"lags must be between 1 and {BLOCK}")
-    rows = states.where("state is not null").withColumn("_b", F.floor(F.col("frame") / BLOCK)).withColumn("_own", F.lit(True))
-    halo = rows.where(F.col("frame") - F.col("_b") * BLOCK < max(lags)).withColumn("_b", F.col("_b") - 1).withColumn("_own", F.lit(False))
+    if not lags or min(lags) < 1:
+        raise ValueError("lags must be at least 1")
+    block = max(BLOCK, *lags)
+    rows = states.where("state is not null").withColumn("_b", F.floor(F.col("frame") / block)).withColumn("_own", F.lit(True))
+    halo = rows.where(F.col("frame") - F.col("_b") * block < max(lags)).withColumn("_b", F.col("_b") - 1).withColumn("_own", F.lit(False))
     both = rows.unionByName(halo)
     base = Window.partitionBy("traj_id", "_b").orderBy("frame")
     later = F.array(*[F.struct(F.lit(k).alias("lag"), F.first("state").over(base.rangeBetween(k, k)).alias("j")) for k in lags])

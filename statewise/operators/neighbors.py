@@ -119,8 +119,9 @@ def _blocks(frames: DataFrame, reach: int, size: int) -> DataFrame:
 
 def drift(frames: DataFrame, tau: int, metric, features: str = "features", size: int = 4096) -> DataFrame:
     """``traj_id, frame, drift``: distance of each frame to the frame ``tau`` later; null where that frame is missing."""
-    if tau < 1 or tau > size:
+    if tau < 1:
         raise ValueError("tau must be a positive number of frames")
+    size = max(size, tau)
     later = F.first(features).over(Window.partitionBy("traj_id", "_b").orderBy("frame").rangeBetween(tau, tau))
     rows = _blocks(frames, tau, size).withColumn("_l", later).where("_own")
     return rows.select("traj_id", "frame", metric(F.col(features), F.col("_l")).alias("drift"))
@@ -128,6 +129,7 @@ def drift(frames: DataFrame, tau: int, metric, features: str = "features", size:
 
 def epsilon_neighbourhood(frames: DataFrame, tau: int, metric, features: str = "features", size: int = 4096) -> DataFrame:
     """``traj_id, frame, epsilon``: the larger distance to the frames ``tau`` before and after; at the ends the one there is."""
+    size = max(size, tau)
     w = Window.partitionBy("traj_id", "_b").orderBy("frame")
     rows = _blocks(frames, tau, size).withColumn("_l", F.first(features).over(w.rangeBetween(tau, tau))).withColumn("_e", F.first(features).over(w.rangeBetween(-tau, -tau))).where("_own")
     return rows.select("traj_id", "frame", F.greatest(metric(F.col(features), F.col("_l")), metric(F.col(features), F.col("_e"))).alias("epsilon"))

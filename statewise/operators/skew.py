@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewise.session import materialize
+from statewise.session import BROADCAST_ROWS, materialize
 
 #: Share of the rows from which a key is heavy, and counters a partition's sketch keeps per possible heavy key.
 SHARE, COUNTERS = 0.03, 8
@@ -63,12 +63,18 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = SHARE,
     """``left`` joined with ``right`` on ``key``, where few keys hold most rows of ``left`` and ``right`` has few rows per key.
 
     Rows of ``left`` with a heavy key meet the ``right`` rows of the (at most 1 / share) heavy keys in a broadcast join, all other rows are
-    shuffled; both are united. ``how`` is inner or left. Null and negative keys are never heavy; null keys match nothing. Columns that
+    shuffled; both are united. The broadcast is counted first: beyond ``session.BROADCAST_ROWS`` rows of ``right`` under heavy keys, heavy rows
+    of ``left`` are dealt over SALTS parts, with which ``right``'s are repeated, and shuffled. ``how`` is inner or left. Null and negative keys are never heavy; null keys match nothing. Columns that
     both sides have besides the key must be renamed before.
     """
     hot = [r[0] for r in heavy_keys(left, key, share).select("key").collect()]
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    heavy = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
+    few = right.where(is_hot)
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        heavy = left.where(is_hot).join(F.broadcast(few), key, how)
+    else:
+        dealt = left.where(is_hot).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        heavy = dealt.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], how).drop("_salt")
     return heavy.unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
 
 

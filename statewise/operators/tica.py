@@ -31,6 +31,7 @@ def moments(frames: DataFrame, lag: int, width: int, features: str = "features",
     with itself.
     """
     if lag:
+        size = max(size, lag)
         later = F.first(features).over(Window.partitionBy("traj_id", "_b").orderBy("frame").rangeBetween(lag, lag))
         rows = _blocks(frames.select("traj_id", "frame", features), lag, size).withColumn("_y", later).where("_own")
     else:

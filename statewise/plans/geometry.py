@@ -147,8 +147,7 @@ SEQ = "WITH v AS (SELECT label AS traj_id, row_number() OVER (PARTITION BY label
 
 
 def sequences(s, d):
-    w = Window.partitionBy("label").orderBy("id")
-    return embedded(s, d).select(F.col("label").alias("traj_id"), (F.row_number().over(w) - 1).cast("long").alias("frame"), "features")
+    return counting.numbered(embedded(s, d), "label", ["id"]).select(F.col("label").alias("traj_id"), "frame", "features")
 
 
 query("drift_tau", SEQ + ", p AS (SELECT a.traj_id, a.frame, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM e a JOIN e b ON a.traj_id = b.traj_id AND b.frame = a.frame + 3 AND a.k = b.k GROUP BY 1, 2) SELECT v.traj_id, v.frame, round(d, 6) AS drift FROM v LEFT JOIN p USING (traj_id, frame)")(

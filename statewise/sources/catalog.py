@@ -232,19 +232,42 @@ def validate(catalog: DataFrame, frames: DataFrame, validators: list[Validator])
     return catalog
 
 
-def build(known: DataFrame, pieces: DataFrame, validators: list[Validator] | None = None, stride: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(catalog, frames) after an ingest: ``pieces`` has ``location, piece, path, frame, xyz``; locations new to ``known`` get ids after its
-    largest, in natural order; overlapping piece borders are dropped, every ``stride``-th frame kept, validators applied."""
+def build(known: DataFrame, pieces: DataFrame, validators: list[Validator] | None = None, stride: int = 1, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(catalog, new frames) after an ingest: ``pieces`` has ``location, piece, path, frame, xyz``; files that ``known`` was converted from are
+    left out.
+
+    Locations new to ``known`` get ids after its largest, in natural order. Further files of a known location (its ``path``) make that
+    trajectory grow: their frames follow its ``length``, and if ``stored`` (``traj_id, frame, xyz``, the frames so far) is given, a first
+    frame that repeats the last stored one is dropped. Overlapping piece borders are dropped, every ``stride``-th frame is kept, and
+    validators look at the new frames of trajectories without errors.
+    """
+    names = ["traj_id", "path", "length", "errors", "converted_from"]
     fresh = new_locations(pieces, known)
+    base = known.select(F.col("path").alias("location"), "traj_id", F.col("length").cast("long").alias("_base"))
+    there = fresh.join(base, "location", "left")
     top = known.agg(F.coalesce(F.max("traj_id"), F.lit(-1)).alias("t"))
-    places = fresh.select("location").distinct().withColumn("_k", F.row_number().over(Window.orderBy(natural_key(F.col("location")), "location")))
-    ids = places.crossJoin(F.broadcast(top)).select("location", (F.col("t") + F.col("_k")).alias("traj_id"))
-    keyed = fresh.join(ids, "location")
-    frames = drop_overlap(keyed.select("traj_id", "piece", "frame", "xyz")).where(F.col("frame") % stride == 0).withColumn("frame", F.floor(F.col("frame") / stride)).select("traj_id", "frame", "xyz")
-    sizes = frames.groupBy("traj_id").agg(F.count(F.lit(1)).cast("int").alias("length"))
-    sources = keyed.groupBy("traj_id").agg(F.first("location").alias("path"), F.array_sort(F.collect_set("path")).alias("converted_from"))
-    new = sources.join(sizes, "traj_id").select("traj_id", "path", "length", F.lit(None).cast("string").alias("errors"), "converted_from")
-    return known.select(*new.columns).unionByName(validate(new, frames, validators or []).select(*new.columns)), frames
+    places = there.where("traj_id is null").select("location").distinct().withColumn("_k", F.row_number().over(Window.orderBy(natural_key(F.col("location")), "location")))
+    ids = places.crossJoin(F.broadcast(top)).select("location", (F.col("t") + F.col("_k")).alias("_id"))
+    keyed = there.join(ids, "location", "left").withColumn("traj_id", F.coalesce("traj_id", "_id")).drop("_id")
+    rows = keyed.select("traj_id", "piece", "frame", "xyz")
+    starts = keyed.groupBy("traj_id").agg(F.max("_base").alias("_base"))
+    if stored is not None:
+        grown = keyed.where("_base is not null").groupBy("traj_id").agg((F.min("piece") - 1).alias("piece"))
+        last = stored.join(grown, "traj_id").groupBy("traj_id", "piece").agg(F.max_by("xyz", "frame").alias("xyz")).select("traj_id", "piece", F.lit(0).cast(dict(rows.dtypes)["frame"]).alias("frame"), "xyz")
+        rows = rows.unionByName(last)
+        starts = starts.join(last.select("traj_id", F.lit(1).alias("_one")), "traj_id", "left").withColumn("_one", F.coalesce("_one", F.lit(0)))
+    else:
+        starts = starts.withColumn("_one", F.lit(0))
+    placed = drop_overlap(rows).join(starts, "traj_id").withColumn("frame", F.col("frame") - F.col("_one")).where(F.col("frame") >= 0)
+    frames = placed.where(F.col("frame") % stride == 0).select("traj_id", (F.coalesce("_base", F.lit(0)) + F.floor(F.col("frame") / stride)).alias("frame"), "xyz")
+    sizes = frames.groupBy("traj_id").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    sources = keyed.groupBy("traj_id").agg(F.first("location").alias("_path"), F.array_sort(F.collect_set("path")).alias("_from")).join(sizes, "traj_id", "left")
+    both = known.select(*names).join(sources, "traj_id", "full")
+    both = both.select(
+        "traj_id", F.coalesce("path", "_path").alias("path"), F.when(F.col("_from").isNull(), F.col("length")).otherwise(F.coalesce("length", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("int").alias("length"),
+        "errors", F.when(F.col("_from").isNull(), F.col("converted_from")).otherwise(F.concat(F.coalesce("converted_from", F.array().cast("array<string>")), "_from")).alias("converted_from"),
+    )
+    return validate(both, frames, validators or []).select(*names), frames
 
 
 def random_frames(spark: SparkSession, lengths: list[int], atoms: int, seed: int = 0) -> DataFrame:
