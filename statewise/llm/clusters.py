@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from statewise.functions import framecodec
 from statewise.llm import space as sp
 from statewise.llm.conformations import plausible
-from statewise.session import materialize, sized
+from statewise.session import forget, materialize, sized
 
 RADIUS = 0.025
 
@@ -176,6 +176,7 @@ def components(edges: DataFrame, one_task: int = 2_000_000) -> DataFrame:
         parents = hooked.select(F.col("node").alias("root"), F.col("root").alias("_p"))
         jumped = materialize(hooked.join(parents, "root", "left").select("node", F.coalesce("_p", "root").alias("root")))
         moved = jumped.join(roots.withColumnRenamed("root", "_old"), "node").where("root <> _old").limit(1).count()
+        forget(roots)
         roots = jumped
         if not moved:
             return roots

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -118,35 +119,49 @@ def label_events(times: np.ndarray, events: np.ndarray, penalty: float, reach: i
     is not below the least cost plus ``penalty`` can be given up for a run begun later, so only those below are carried on. ``first`` and
     ``last`` fix the labels of the first and last event. Ties go to the run that goes on, then to the smaller label.
     """
-    labels, at = np.unique(events, return_inverse=True)
-    cost = between(labels[:, None], labels[None, :])
-    n = len(events)
-    fresh = np.zeros((n, len(labels)), bool)
-    came = np.zeros(n, np.int64)
-    value = np.full(len(labels), penalty) if first is None else np.where(labels == first, 0.0, np.inf)
-    fresh[0] = True
-    value = value + cost[at[0]]
-    over = np.maximum(0, np.diff(times) - reach)
-    alive = np.flatnonzero(value < value.min() + penalty + 1e-9)
+    labels, index = np.unique(events, return_inverse=True)
+    cost = between(labels[:, None], labels[None, :]).astype(float)
+    near = [[(d, y) for y, d in enumerate(row) if d < penalty] for row in cost.tolist()]
+    rows, at, over = cost.tolist(), index.tolist(), np.maximum(0, np.diff(times) - reach).tolist()
+    n = len(at)
+    begins: list[list[int]] = [[0] for _ in labels]  # of each label the starts of its candidate runs, and the label of the run before
+    came: list[list[int]] = [[-1] for _ in labels]
+    if first is None:
+        alive = {k: penalty + c for k, c in enumerate(rows[at[0]])}
+        low = min(alive.values())
+        alive = {k: c for k, c in alive.items() if c < low + penalty + 1e-9}
+    else:
+        k = int(np.searchsorted(labels, first))
+        alive = {k: rows[at[0]][k]}
     for t in range(1, n):
-        kept = value[alive]
-        best = int(kept.argmin())
-        least = kept[best]
-        came[t] = alive[best]
-        new = np.full(len(labels), least + penalty)
-        going = kept + over[t - 1]
-        goes = going <= least + penalty + 1e-12
-        new[alive[goes]] = going[goes]
-        fresh[t] = True
-        fresh[t, alive[goes]] = False
-        value = new + cost[at[t]]
-        alive = np.flatnonzero(value < value.min() + penalty + 1e-9)
-    k = int(value.argmin()) if last is None else int(np.searchsorted(labels, last))
+        x, gap = at[t], over[t - 1]
+        if not gap and len(alive) == 1 and x in alive:
+            continue  # the one run goes on at no cost, and no other can become better
+        least, best = min((c, k) for k, c in alive.items())
+        limit = least + penalty
+        row, new = rows[x], {}
+        for k, c in alive.items():
+            if c + gap <= limit + 1e-12:
+                new[k] = c + gap + row[k]
+            else:
+                new[k] = limit + row[k]
+                begins[k].append(t)
+                came[k].append(best)
+        for d, y in near[x]:
+            if y not in alive:
+                new[y] = limit + d
+                begins[y].append(t)
+                came[y].append(best)
+        low = min(new.values())
+        alive = {k: c for k, c in new.items() if c < low + penalty + 1e-9}
+    k = min((c, k) for k, c in alive.items())[1] if last is None else int(np.searchsorted(labels, last))
     out, starts = np.empty(n, labels.dtype), np.zeros(n, bool)
-    for t in range(n - 1, -1, -1):
-        out[t], starts[t] = labels[k], fresh[t, k]
-        if fresh[t, k]:
-            k = int(came[t])
+    t = n - 1
+    while t >= 0:
+        place = bisect_right(begins[k], t) - 1
+        start = begins[k][place]
+        out[start : t + 1], starts[start] = labels[k], True
+        k, t = came[k][place], start - 1
     return out, starts
 
 
