@@ -304,9 +304,9 @@ def reference(s, d):
     return np.array([list(r) for r in rows], float)
 
 
-def rmsd_sql(pairs):
+def rmsd_sql(pairs, tag=""):
     """SQL (from ``pairs``: keys ..., x, y as lists of 22 points) of the RMSD after superposition: the correlation of the centred atoms, its squared
-    norm, determinant and cofactors, and Newton steps to the largest root of the quaternion matrix's polynomial."""
+    norm, determinant and cofactors, and Newton steps to the largest root of the quaternion matrix's polynomial. ``tag`` begins the names."""
     mean = lambda p, k: f"list_sum(list_transform({p}, lambda q: q[{k}])) / 22"
     centred = lambda p: f"list_transform({p}, lambda q: [" + ", ".join(f"q[{k}] - {p}{k}" for k in (1, 2, 3)) + "])"
     inner = ", ".join(f"list_sum(list_transform(range(1, 23), lambda n: u[n][{i}] * w[n][{j}])) AS m{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
@@ -314,12 +314,12 @@ def rmsd_sql(pairs):
     norm = " + ".join(f"m{i}{j} * m{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
     cofactors = " + ".join(f"{x} * {x}" for x in of.values())
     step = "CASE WHEN (4 * l * l - 4 * n) * l - 8 * t > 0 THEN l - (((l * l - 2 * n) * l - 8 * t) * l + n * n - 4 * q) / ((4 * l * l - 4 * n) * l - 8 * t) ELSE l END"
-    sql = f"c0 AS (SELECT *, {', '.join(f'{mean(p, k)} AS {p}{k}' for p in 'xy' for k in (1, 2, 3))} FROM ({pairs})), c1 AS (SELECT *, {centred('x')} AS u, {centred('y')} AS w FROM c0)"
-    sql += ", c2 AS (SELECT *, list_sum(list_transform(flatten(u), lambda z: z * z)) + list_sum(list_transform(flatten(w), lambda z: z * z)) AS g, " + inner + " FROM c1)"
-    sql += f", c3 AS (SELECT *, {norm} AS n, m11 * {of[1, 1]} + m12 * {of[1, 2]} + m13 * {of[1, 3]} AS t, {cofactors} AS q FROM c2), l0 AS (SELECT * EXCLUDE (x, y, u, w), least(g / 2, sqrt(3 * n)) AS l FROM c3)"
+    sql = f"{tag}c0 AS (SELECT *, {', '.join(f'{mean(p, k)} AS {p}{k}' for p in 'xy' for k in (1, 2, 3))} FROM ({pairs})), {tag}c1 AS (SELECT *, {centred('x')} AS u, {centred('y')} AS w FROM {tag}c0)"
+    sql += f", {tag}c2 AS (SELECT *, list_sum(list_transform(flatten(u), lambda z: z * z)) + list_sum(list_transform(flatten(w), lambda z: z * z)) AS g, {inner} FROM {tag}c1)"
+    sql += f", {tag}c3 AS (SELECT *, {norm} AS n, m11 * {of[1, 1]} + m12 * {of[1, 2]} + m13 * {of[1, 3]} AS t, {cofactors} AS q FROM {tag}c2), {tag}l0 AS (SELECT * EXCLUDE (x, y, u, w), least(g / 2, sqrt(3 * n)) AS l FROM {tag}c3)"
     for k in range(1, 41):
-        sql += f", l{k} AS (SELECT * REPLACE ({step} AS l) FROM l{k - 1})"
-    return sql + ", rmsd AS (SELECT *, sqrt(greatest(g - 2 * l, 0) / 22) AS dist FROM l40)"
+        sql += f", {tag}l{k} AS (SELECT * REPLACE ({step} AS l) FROM {tag}l{k - 1})"
+    return sql + f", {tag}rmsd AS MATERIALIZED (SELECT *, sqrt(greatest(g - 2 * l, 0) / 22) AS dist FROM {tag}l40)"
 
 
 ATOMS = ", ref AS (SELECT list([x, y, z] ORDER BY atom) AS y FROM atoms)"
@@ -351,7 +351,17 @@ def assign_rmsd(s, d):
     return once(neighbors.assign(x, starts, ["frame_id"], metric="rmsd").select("frame_id", "state", F.round("dist", 4).alias("dist")))
 
 
-@query("kcenters_rmsd")
+def _rmsd_centres(k):
+    """SQL of farthest-first traversal by RMSD over the frames below 100 nm."""
+    sql = WHOLE + ", e AS MATERIALIZED (SELECT frame_id, xyz FROM f WHERE list_max(list_transform(flatten(xyz), lambda x: abs(x))) < 100), a0 AS (SELECT xyz FROM e ORDER BY frame_id LIMIT 1), "
+    sql += rmsd_sql("SELECT e.frame_id, e.xyz AS x, a0.xyz AS y FROM e, a0", "z0_") + ", t0 AS MATERIALIZED (SELECT frame_id, 0 AS state, dist FROM z0_rmsd)"
+    for n in range(1, k):
+        sql += f", a{n} AS (SELECT xyz FROM e WHERE frame_id = (SELECT frame_id FROM t{n - 1} ORDER BY dist DESC, frame_id LIMIT 1)), " + rmsd_sql(f"SELECT e.frame_id, e.xyz AS x, a{n}.xyz AS y FROM e, a{n}", f"z{n}_")
+        sql += f", t{n} AS MATERIALIZED (SELECT t.frame_id, CASE WHEN r.dist < t.dist THEN {n} ELSE t.state END AS state, least(t.dist, r.dist) AS dist FROM t{n - 1} t JOIN z{n}_rmsd r USING (frame_id))"
+    return sql + f" SELECT frame_id, state, round(dist, 4) AS dist FROM t{k - 1}"
+
+
+@query("kcenters_rmsd", _rmsd_centres(4))
 def kcenters_rmsd(s, d):
     """Farthest-first centres by RMSD among the frames whose coordinates stay below 100 nm (the rest are explosions)."""
     x = flattened(s, d).where(F.array_max(F.transform("features", lambda z: F.abs(z))) < 100)

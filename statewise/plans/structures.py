@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from statewise.operators import counting, neighbors, structures
 from statewise.plans.counting import COUNTS, EVENTS, HELD, event_states, held
-from statewise.plans.geometry import ASSIGN, embedded, finite, once, reference
+from statewise.plans.geometry import ASSIGN, WHOLE, embedded, finite, once, reference
 from statewise.plans.registry import query, table
 from statewise.streaming import trajectories as st
 
@@ -48,7 +48,19 @@ def permuted_rmsd(s, d):
     return once(a).select("frame_id", F.round(F.col("features")[0], 6).alias("dist"))
 
 
-@query("surface_areas")
+POINTS = 96
+_radius = "CASE " + " ".join(f"WHEN k = '{k}' THEN {r + structures.PROBE}" for k, r in structures.RADII.items()) + " END"
+
+
+@query("surface_areas", WHOLE + f""", a AS (SELECT atom, {_radius} AS r FROM (SELECT atom, regexp_extract(name, '[A-Za-z]') AS k FROM atoms)),
+p AS (SELECT k, acos(1 - 2 * (k + 0.5) / {POINTS}) AS phi, pi() * (1 + sqrt(5)) * (k + 0.5) AS th FROM range({POINTS}) t(k)),
+u AS (SELECT k, cos(th) * sin(phi) AS ux, sin(th) * sin(phi) AS uy, cos(phi) AS uz FROM p),
+x AS (SELECT frame_id, atom, r, xyz[atom + 1] AS c FROM f, a),
+y AS (SELECT p.frame_id, p.atom, p.r, q.c[1] - p.c[1] AS dx, q.c[2] - p.c[2] AS dy, q.c[3] - p.c[3] AS dz, q.r AS o FROM x p JOIN x q ON p.frame_id = q.frame_id AND p.atom <> q.atom),
+near AS (SELECT *, (dx * dx + dy * dy + dz * dz + r * r - o * o) / (2 * r) AS reach FROM y WHERE dx * dx + dy * dy + dz * dz <= (r + o) * (r + o)),
+gone AS (SELECT DISTINCT frame_id, atom, k FROM near, u WHERE dx * ux + dy * uy + dz * uz > reach),
+n AS (SELECT frame_id, atom, count(*) AS n FROM gone GROUP BY 1, 2)
+SELECT x.frame_id, x.atom, round((1 - coalesce(n, 0) / {POINTS}.0) * 4 * pi() * r * r, 4) AS area FROM x LEFT JOIN n USING (frame_id, atom)""")
 def surface_areas(s, d):
     names = [r[0] for r in table(s, d, "atoms").orderBy("atom").select("name").collect()]
     a = structures.surface_areas(finite(s, d), names, ["frame_id"])

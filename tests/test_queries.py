@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import shutil
 import subprocess
 import sys
 from collections import Counter
@@ -54,6 +55,12 @@ def test_flagship(spark):
     assert entry.entry(spark).columns == ["i", "j", "p"]
 
 
-def test_rest_imports_without_the_subpackage():
-    code = "import sys; sys.modules['statewise.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p3_found' in q and 'transition_matrix' in q; print(len(q))"
-    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, check=True, text=True).stdout.strip().isdigit()
+def test_rest_works_without_the_subpackage(tmp_path):
+    """Both folders deleted: the entry registers the other queries, and every other test module still imports."""
+    bare = tmp_path / "repo"
+    shutil.copytree(ROOT, bare, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    assert not (bare / "statewise" / "llm").exists() and not (bare / "tests" / "llm").exists()
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'p3_found' in q and 'p1_found' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=bare, capture_output=True, check=True, timeout=300)
+    said = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=bare, capture_output=True, text=True, timeout=300)
+    assert said.returncode == 0 and "p3_found" in said.stdout and "p1_found" not in said.stdout
