@@ -105,13 +105,14 @@ def sentence_texts(documents: DataFrame) -> DataFrame:
     ends = F.aggregate(F.transform("_p", F.length), F.array(F.lit(0)), lambda at, n: F.array_append(at, F.element_at(at, -1) + n))
     blank = "[\\s\u00a0\u202f\u200b\u200c\u200d\u2060\ufeff]+"
 
-    def place(piece: Column, k: Column) -> Column:
-        at = F.get(F.col("_at"), k)
+    def place(piece: Column, at: Column) -> Column:
         lead = F.length(piece) - F.length(F.regexp_replace(piece, "^" + blank, ""))
         return F.struct((at + lead).alias("a"), (at + F.length(F.regexp_replace(piece, blank + "$", ""))).alias("z"))
 
-    rows = rows.withColumn("_at", ends).withColumn("_s", F.filter(F.transform("_p", place), lambda x: x["z"] > x["a"]))
-    out = rows.select("doc_id", "_from", "_b", F.posexplode("_s").alias("sentence", "_x"))
+    # both arrays are arguments of the function, not names inside it: they are found once a row
+    rows = rows.withColumn("_at", ends).withColumn("_s", F.filter(F.zip_with("_p", "_at", place), lambda x: x["z"] > x["a"]))
+    # outer: a plain explode would let the optimizer repeat all expressions in a filter for rows without sentences
+    out = rows.select("doc_id", "_from", "_b", F.posexplode_outer("_s").alias("sentence", "_x")).where("_x is not null")
     text = F.expr("substring(_b, _x.a + 1, _x.z - _x.a)")
     return out.select("doc_id", "sentence", (F.col("_from") + F.col("_x.a")).alias("start_pos"), (F.col("_from") + F.col("_x.z")).alias("end_pos"), text.alias("text")).distinct()
 
