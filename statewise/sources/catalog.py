@@ -134,21 +134,24 @@ def read_yaml(spark: SparkSession, path: str) -> DataFrame:
 
 def read_mtx(spark: SparkSession, path: str, value: str = "c") -> DataFrame:
     """MatrixMarket coordinates as ``i, j, value`` (0-based); a symmetric file gives both triangles."""
-    lines = spark.read.text(path).select(F.trim("value").alias("t"))
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.trim("value").alias("t"), place.alias("_at"))
     symmetric = bool(lines.where(F.col("t").startswith("%%") & F.lower("t").contains("symmetric")).limit(1).count())
-    parts = lines.where(~F.col("t").startswith("%") & (F.col("t") != "")).select(F.split("t", r"\s+").alias("p"))
-    header = parts.limit(1).first()["p"]
+    parts = lines.where(~F.col("t").startswith("%") & (F.col("t") != "")).select(F.split("t", r"\s+").alias("p"), "_at")
+    header = parts.agg(F.min_by("p", "_at").alias("p")).first()["p"]
+    if header is None:
+        raise ValueError(f"{path} has no size line")
     rows = parts.where((F.size("p") == 3) & ~(F.array_join("p", " ") == " ".join(header)))
     out = rows.select((F.col("p")[0].cast("int") - 1).alias("i"), (F.col("p")[1].cast("int") - 1).alias("j"), F.col("p")[2].cast("double").alias(value))
     return out.unionByName(out.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), value)) if symmetric else out
 
 
 def write_mtx(entries: DataFrame, value: str, n: int, path: str) -> None:
-    """``i, j, value`` as MatrixMarket coordinates in one text file per partition, the header first."""
+    """``i, j, value`` as one MatrixMarket file of coordinates, the header first (a model's matrix: its entries are bounded by the states a model may have)."""
     spark = entries.sparkSession
     rows = entries.where(F.col(value) != 0)
     head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), (f"{n} {n} {rows.count()}",)], "value string").coalesce(1)
-    head.unionByName(rows.select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, F.col(value)).alias("value"))).write.mode("errorifexists").text(path)
+    head.unionByName(rows.select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, F.col(value)).alias("value"))).coalesce(1).write.mode("errorifexists").text(path)
 
 
 def read_dat(spark: SparkSession, path: str, *columns: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,23 +34,26 @@ def lag_pairs(states: DataFrame, lag: int) -> DataFrame:
     """
 
     def step(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        frames, labels = (list(x) for x in state.get) if state.exists else ([], [])
-        new = pd.concat(list(chunks)).dropna(subset=["frame"]).sort_values("frame").drop_duplicates("frame")
-        if frames:
-            new = new[new["frame"] > frames[-1]]
-        known = dict(zip(frames, labels, strict=True))
-        out = []
-        for frame, label in zip(new["frame"].astype(int).tolist(), new["state"].tolist(), strict=True):
-            label = None if pd.isna(label) else int(label)
-            before = known.get(frame - lag)
-            if before is not None and label is not None:
-                out.append((key[0], frame, before, label))
-            known[frame] = label
-        if known:
-            top = max(known)
-            kept = sorted(f for f in known if f > top - lag)
-            state.update((kept, [known[f] for f in kept]))
-        yield pd.DataFrame(out, columns=["traj_id", "frame", "i", "j"])
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        frames, labels = ([], []) if not state.exists else state.get
+        frames = np.array(frames, np.int64)
+        labels = np.array([np.nan if x is None else x for x in labels], float)
+        for chunk in chunks:  # a batch of a trajectory may come in several pieces, in any order within it
+            some = chunk.dropna(subset=["frame"])
+            fresh.append((some["frame"].to_numpy(np.int64), some["state"].to_numpy(float, na_value=np.nan)))
+        new, at = np.unique(np.concatenate([f for f, _ in fresh]), return_index=True)
+        value = np.concatenate([x for _, x in fresh])[at]
+        if len(frames):
+            later = new > frames[-1]
+            new, value = new[later], value[later]
+        known, of = np.concatenate([frames, new]), np.concatenate([labels, value])
+        place = np.searchsorted(known, new - lag)
+        ok = (place < len(known)) & (known[np.minimum(place, len(known) - 1)] == new - lag) if len(known) else np.zeros(0, bool)
+        ok[ok] = ~np.isnan(of[place[ok]]) & ~np.isnan(value[ok])
+        if len(known):
+            kept = known > known[-1] - lag
+            state.update((known[kept].tolist(), [None if np.isnan(x) else int(x) for x in of[kept]]))
+        yield pd.DataFrame({"traj_id": np.full(int(ok.sum()), key[0]), "frame": new[ok], "i": of[place[ok]].astype(np.int64), "j": value[ok].astype(np.int64)})
 
     return states.where("traj_id is not null").groupBy("traj_id").applyInPandasWithState(step, PAIRS, STATE, "append", "NoTimeout")
 
