@@ -58,7 +58,8 @@ def normalize_rows(counts: np.ndarray) -> np.ndarray:
 def reversible_counts(counts: np.ndarray, rounds: int = 100_000, tolerance: float = 1e-12, prior: float = 0.0) -> np.ndarray:
     """Symmetric counts of the same total whose row-normalised matrix has the greatest likelihood among reversible ones.
 
-    Fixed point of the stationarity condition: x_ij = (c_ij + c_ji) / (n_i / x_i + n_j / x_j), from the symmetrised counts.
+    Fixed point of the stationarity condition: x_ij = (c_ij + c_ji) / (n_i / x_i + n_j / x_j), from the symmetrised counts, until no entry
+    moves by more than its share ``tolerance``.
     """
     c = np.asarray(counts, float) + prior
     both, n = c + c.T, c.sum(axis=1)
@@ -66,7 +67,7 @@ def reversible_counts(counts: np.ndarray, rounds: int = 100_000, tolerance: floa
     for _ in range(rounds):
         q = n / np.maximum(x.sum(axis=1), 1e-300)
         new = np.divide(both, q[:, None] + q[None, :], out=np.zeros_like(x), where=both > 0)
-        done = np.abs(new - x).max() <= tolerance * max(1.0, np.abs(x).max())
+        done = (np.abs(new - x) <= tolerance * new).all()
         x = new
         if done:
             break
