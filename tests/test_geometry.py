@@ -131,9 +131,9 @@ def test_far_and_broken_frames_count(spark, tmp_path):
     got = {r.traj_id: r.errors for r in QUERIES["rmsd_explosions"](spark, str(tmp_path)).collect()}
     assert set(got) == {11, 12, 13} and got[12] == got[13] == "Explosion: Infinity"
     assert float(got[11].split()[1]) == pytest.approx(linalg.min_rmsd(far[None], base)[0], abs=1e-4)
-    for name in ("reference_rmsd", "aligned_positions", "permuted_rmsd", "surface_areas", "sincos_torsions", "atom_pair_distances_all", "contact_bool_all", "residue_contacts_all", "centred_frames_all"):
+    for name in ("reference_rmsd", "aligned_positions", "permuted_rmsd", "surface_areas", "sincos_torsions", "atom_pair_distances", "contact_bool", "residue_contacts", "centred_frames"):
         assert {r.frame_id for r in QUERIES[name](spark, str(tmp_path)).collect()} == {0, 1}, name
-    pair = QUERIES["atom_pair_distances_all"](spark, str(tmp_path)).where("frame_id = 1").first()
+    pair = QUERIES["atom_pair_distances"](spark, str(tmp_path)).where("frame_id = 1").first()
     assert pair.d1 == pytest.approx(np.linalg.norm(far[3] - far[9]), abs=1e-6)
 
 
@@ -142,7 +142,7 @@ def test_every_pair_of_vectors(spark, tmp_path):
 
     x = np.random.default_rng(0).normal(size=(40, 64)).astype(np.float32)
     spark.createDataFrame([(3 * k, r.tolist(), k % 5) for k, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    rows = QUERIES["pairwise_all"](spark, str(tmp_path)).collect()
+    rows = QUERIES["pairwise_condensed"](spark, str(tmp_path)).collect()
     want = {(3 * i, 3 * j): np.linalg.norm(x[i].astype(float) - x[j]) for i, j in itertools.combinations(range(40), 2)}
     assert len(rows) == len(want) == 780 and {(r.a, r.b): r.dist for r in rows} == pytest.approx(want, abs=1e-6)
 
